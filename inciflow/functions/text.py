@@ -252,28 +252,30 @@ def drop_size(c: Column, size: Column) -> Column:
 
 def lower_keywords(c: Column, category: Column) -> Column:
     """First hit of each keyword of the product's category written in lower case."""
-    out = c
-    for name, words in K.CATEGORY_RULES:
-        x = c
-        for w in words:
-            x = sub_first(x, rf"\b{w}\b", w)
-        out = F.when(category == name, x).otherwise(out)
-    return out
+    table = F.create_map(*[x for name, words in K.CATEGORY_RULES for x in (F.lit(name), str_array(words))])
+    words = F.coalesce(F.try_element_at(table, category), F.array().cast("array<string>"))
+    present = F.filter(words, lambda w: F.lower(c).contains(w))
+    edge = java(r"\b", False)
+
+    def lowered(acc, w):
+        return F.regexp_replace(acc, F.concat(F.lit(r"(?is)\A(.*?)" + edge), w, F.lit(edge)), F.concat(F.lit("$1"), w))
+
+    return F.aggregate(present, c, lowered)
 
 
-def variant_of(title_ws: Column, size: Column, brand: Column, category: Column) -> Column:
-    work = lower_keywords(drop_size(drop_prefix(title_ws, brand), size), category)
+def variant_in(work: Column) -> Column:
+    """First variant phrase of a title whose brand and size are gone."""
     found = F.coalesce(*[blank(get(work, p, 1)) for p in K.VARIANT_PATTERNS], F.lit(""))
     return ws(F.regexp_replace(found, r"\A\(|\)\z", ""))
 
 
-def core_name_of(title_ws: Column, size: Column, variant: Column, brand: Column) -> Column:
-    x = drop_first(drop_size(drop_prefix(title_ws, brand), size), variant)
+def core_name_in(work: Column, variant: Column, fallback: Column) -> Column:
+    x = drop_first(work, variant)
     x = F.regexp_replace(x, "[|:]+", " ")
     x = sub_all(x, r"\(\s*\)", " ")
     x = sub_first(x, K.CORE_VERB_TAIL)
     x = sub_all(x, K.CORE_FOR_PHRASE)
-    return F.coalesce(blank(ws(x)), title_ws)
+    return F.coalesce(blank(ws(x)), fallback)
 
 
 def sku_of(*cols: Column) -> Column:

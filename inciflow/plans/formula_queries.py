@@ -277,7 +277,7 @@ _SIG_SCALAR = ["ingredient_id", "s_corpus", "s_evidence", "s_ev", "s_soothing",
 
 @query(
     "f3_ingredient_signals",
-    ctes("SELECT " + ", ".join(_SIG_SCALAR) + ", " + ", ".join(f"array_to_string({c}, '|') AS {c}" for c in _SIG_ARR) + " FROM sig", dim=B.DIM_SQL, sig=Q.signals()),
+    ctes("SELECT " + ", ".join(_SIG_SCALAR) + ", " + ", ".join(f"array_to_string({c if c != 's_codes' else Q.ordered_distinct(c)}, '|') AS {c}" for c in _SIG_ARR) + " FROM sig", dim=B.DIM_SQL, sig=Q.signals()),
 )
 def f3_ingredient_signals(spark, sf):
     return S.ingredient_signals(B.dimension(spark, sf)).select(*_SIG_SCALAR, *[F.array_join(c, "|").alias(c) for c in _SIG_ARR])
