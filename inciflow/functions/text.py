@@ -42,6 +42,11 @@ def ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACES + "+", " "))
 
 
+def squeeze(c: Column) -> Column:
+    """ws() for text whose only white space is already plain spaces."""
+    return F.trim(F.regexp_replace(c, " {2,}", " "))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{SPACES}+|{SPACES}+\z", "")
 
@@ -217,11 +222,11 @@ def clean_title(c: Column) -> Column:
     base = ws(c)
     x = base
     for p in K.TITLE_NOISE:
-        x = ws(sub_all(x, p))
+        x = squeeze(sub_all(x, p))
     for p in K.TITLE_MARKETING:
-        x = ws(sub_first(x, p))
+        x = squeeze(sub_first(x, p))
     cleaned = F.when(has(base, _TITLE_ANY), x).otherwise(base)
-    return ws(F.regexp_replace(cleaned, "[|:]+", " "))
+    return squeeze(F.regexp_replace(cleaned, "[|:]+", " "))
 
 
 def last_size(cleaned: Column) -> Column:

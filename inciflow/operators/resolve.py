@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from . import verify as V
 from .ranking import first_per_key
 
 
 def synonym_of(key: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for source, target in K.SYNONYMS.items():
-        out = F.when(key == source, F.lit(target)).otherwise(out)
-    return out
+    table = F.create_map(*[F.lit(x) for pair in K.SYNONYMS.items() for x in pair])
+    return F.try_element_at(table, key)
 
 
 def catalogue_entries(dim: DataFrame) -> DataFrame:
@@ -49,49 +48,53 @@ def alias_map(dim: DataFrame) -> DataFrame:
 
 def lookup_table(dim: DataFrame) -> DataFrame:
     """Join side of name resolution: direct keys, and name-only keys for synonym targets."""
+    targets = sorted({literal_key(v) for v in K.SYNONYMS.values()})
     names = (
         dim.select("ingredient_id", "name", T.compact_key(F.col("name")).alias("key"))
-        .where(F.col("key").isin([T_key(v) for v in sorted(set(K.SYNONYMS.values()))]))
+        .where(F.col("key").isin(targets))
         .groupBy("key")
         .agg(F.min(F.struct("ingredient_id", "name")).alias("m"))
     )
-    direct = alias_map(dim).where("kind <> 'synonym'")
-    return direct.select("key", F.lit("direct").alias("via"), "ingredient_id", "name").unionByName(
-        names.select("key", F.lit("target").alias("via"), "m.ingredient_id", "m.name")
+    last = catalogue_entries(dim).groupBy("key").agg(F.max(F.struct("ord", "name")).alias("m"))
+    direct = last.where(~F.col("key").isin(list(K.SYNONYMS))).select(
+        "key", F.lit("direct").alias("via"), F.col("m.ord.ingredient_id").alias("ingredient_id"), F.col("m.name").alias("name")
     )
+    return direct.unionByName(names.select("key", F.lit("target").alias("via"), "m.ingredient_id", "m.name"))
 
 
-def T_key(value: str) -> str:
+def literal_key(value: str) -> str:
     """Compact key of a literal with neither brackets nor percentages."""
     return "".join(ch for ch in value.lower() if ch.isascii() and ch.isalnum())
 
 
-def expand_synonyms(tokens: DataFrame) -> DataFrame:
+def expand_synonyms(names: DataFrame) -> DataFrame:
     """raw_name -> normalized_input, its key, and the key the catalogue is asked for."""
-    target = synonym_of(T.compact_key(F.col("raw_name")))
-    out = tokens.withColumn("normalized_input", F.coalesce(target, F.col("raw_name")))
-    out = out.withColumn("input_key", T.compact_key(F.col("normalized_input")))
-    again = synonym_of(F.col("input_key"))
-    return out.withColumn("key", F.coalesce(T.compact_key(again), F.col("input_key"))).withColumn(
-        "via", F.when(again.isNotNull(), "target").otherwise("direct")
-    )
-
-
-def resolve_names(tokens: DataFrame, dim: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """Adds normalized_input, canonical_name, ingredient_id and match_type.
-
-    The lookup table has one row per key, so a hot name never multiplies rows.
-    Whether it is broadcast is left to its measured size.
+    out = names.withColumn("_target", synonym_of(T.compact_key(F.col("raw_name"))))
+    out = out.withColumn("normalized_input", F.coalesce("_target", "raw_name"))
+    out = out.withColumn("input_key", T.compact_key(F.col("normalized_input"))).withColumn("_again", synonym_of(F.col("input_key")))
+    return out.withColumns(
+        {
+            "key": F.coalesce(T.compact_key(F.col("_again")), F.col("input_key")),
+            "via": F.when(F.col("_again").isNotNull(), "target").otherwise("direct"),
+        }
+    ).drop("_target", "_again")
+
+
+def name_dictionary(tokens: DataFrame, dim: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """Each different raw name once: what it resolves to and how it looks as a token.
+
+    Names repeat across lists, so keys, patterns and lookups are evaluated per
+    name and joined back, not per line.
     """
-    found = expand_synonyms(tokens).join(
-        lookup_table(dim).withColumnRenamed("name", "canonical"), ["key", "via"], "left"
-    )
+    asked = expand_synonyms(tokens.select("raw_name").distinct())
+    support = dim.select("ingredient_id", V.support_signal().alias("v_support"))
+    found = asked.join(lookup_table(dim).withColumnRenamed("name", "canonical"), ["key", "via"], "left")
     if fuzzy:
         misses = found.where("ingredient_id IS NULL AND input_key <> ''").select("input_key").distinct()
         near = fuzzy_resolve(misses, dim).select("input_key", F.col("ingredient_id").alias("f_id"), F.col("name").alias("f_name"))
         found = found.join(near, "input_key", "left")
     else:
-        found = found.withColumn("f_id", F.lit(None).cast("bigint")).withColumn("f_name", F.lit(None).cast("string"))
+        found = found.withColumns({"f_id": F.lit(None).cast("bigint"), "f_name": F.lit(None).cast("string")})
     kind = (
         F.when(F.col("ingredient_id").isNull() & F.col("f_id").isNull(), "unknown")
         .when(F.col("ingredient_id").isNull(), "fuzzy")
@@ -99,12 +102,26 @@ def resolve_names(tokens: DataFrame, dim: DataFrame, fuzzy: bool = False) -> Dat
         .when(T.compact_key(F.col("canonical")) == F.col("input_key"), "exact")
         .otherwise("alias")
     )
-    return (
-        found.withColumn("match_type", kind)
-        .withColumn("canonical_name", F.coalesce("canonical", "f_name", "normalized_input"))
-        .withColumn("ingredient_id", F.coalesce("ingredient_id", "f_id"))
-        .drop("key", "via", "canonical", "f_id", "f_name", "input_key")
+    found = found.select(
+        "raw_name",
+        "normalized_input",
+        F.coalesce("canonical", "f_name", "normalized_input").alias("canonical_name"),
+        F.coalesce("ingredient_id", "f_id").alias("ingredient_id"),
+        kind.alias("match_type"),
     )
+    shown = F.when(F.col("match_type").isin("fuzzy", "unknown"), F.col("normalized_input")).otherwise(F.col("canonical_name"))
+    found = found.withColumn("shown_name", shown).withColumns(V.token_facts())
+    return found.join(support, "ingredient_id", "left")
+
+
+def resolve_names(tokens: DataFrame, dim: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """Token rows with normalized_input, canonical_name, ingredient_id, match_type and token facts.
+
+    The dictionary has one row per name, so no row multiplies.  Whether it is
+    broadcast is left to its measured size; beyond that a hot name is split by
+    the skew join.
+    """
+    return tokens.join(name_dictionary(tokens, dim, fuzzy), "raw_name")
 
 
 def fuzzy_resolve(misses: DataFrame, dim: DataFrame) -> DataFrame:
@@ -150,20 +167,15 @@ def fuzzy_resolve(misses: DataFrame, dim: DataFrame) -> DataFrame:
 
 def unknown_names(tokens: DataFrame, dim: DataFrame) -> DataFrame:
     """Distinct names with no catalogue row and how often they occur."""
-    keyed = expand_synonyms(tokens).groupBy("key", "via").agg(
-        F.count(F.lit(1)).alias("uses"), F.min("normalized_input").alias("name")
-    )
+    counted = tokens.groupBy("raw_name").agg(F.count(F.lit(1)).alias("uses"))
+    keyed = expand_synonyms(counted).groupBy("key", "via").agg(F.sum("uses").alias("uses"), F.min("normalized_input").alias("name"))
     return keyed.join(lookup_table(dim).select("key", "via"), ["key", "via"], "left_anti").select("name", "uses")
 
 
 def canonical_list(resolved: DataFrame) -> DataFrame:
     """Distinct output names per list: place of the first, spelling of the last."""
-    shown = F.when(F.col("match_type").isin("fuzzy", "unknown"), F.col("normalized_input")).otherwise(F.col("canonical_name"))
-    return (
-        resolved.withColumn("shown", shown)
-        .withColumn("key", T.compact_key(F.col("shown")))
-        .groupBy("list_id", "key")
-        .agg(F.min("position").alias("position"), F.max_by("shown", "position").alias("name"))
+    return resolved.groupBy("list_id", F.col("v_key").alias("key")).agg(
+        F.min("position").alias("position"), F.max_by("shown_name", "position").alias("name")
     )
 
 

@@ -113,9 +113,6 @@ def _trigger_hits(codes: Column, corpus: Column, groups: dict[str, list[str]]) -
 def ingredient_signals(dim: DataFrame) -> DataFrame:
     """Scoring view of the dimension; evaluated once per ingredient, not per line."""
     fields = ["functions", "helps", "tags", "avoid_for", "risk_flags", "suitable_skin_types", "avoid_skin_types"]
-    base = dim
-    for f in fields:
-        base = base.withColumn(f"s_{f}", _codes(_no_null(F.col(f))))
     values = F.filter(
         F.concat(
             F.array("name", "inci_name", "scientific_name", "purpose", "display_purpose"),
@@ -123,38 +120,36 @@ def ingredient_signals(dim: DataFrame) -> DataFrame:
         ),
         lambda v: v.isNotNull() & (v != ""),
     )
-    base = base.withColumn("_values", values)
-    base = base.withColumn("s_codes", _codes(F.col("_values"))).withColumn(
-        "s_corpus", F.array_join(F.transform("_values", T.lower_text), " ")
-    )
-    base = base.withColumn(
-        "s_benefits",
-        F.array_distinct(
-            F.concat(
-                F.col("s_helps"),
-                expand_codes(F.col("s_functions"), K.FUNCTION_DIMENSIONS),
-                expand_codes(F.col("s_tags"), K.TAG_DIMENSIONS),
-            )
-        ),
-    )
     level = T.code_key(T.text(F.col("evidence_level")))
-    ev = F.lit(int(round(K.EVIDENCE_DEFAULT * 100)))
-    for code, value in K.EVIDENCE_MULTIPLIERS.items():
-        ev = F.when(level == code, int(round(value * 100))).otherwise(ev)
-    has = F.array_contains
-    return (
-        base.withColumn("s_evidence", level)
-        .withColumn("s_ev", ev)
-        .withColumn(
-            "s_soothing",
-            has("s_functions", "SOOTHING") | has("s_functions", "ANTI_INFLAMMATORY") | has("s_tags", "SOOTHING") | has("s_benefits", "REDNESS"),
-        )
-        .withColumn("s_fragrance", has("s_tags", "FRAGRANCE") | has("s_avoid_for", "FRAGRANCE_ALLERGY") | has("s_risk_flags", "ALLERGEN"))
-        .withColumn("s_essential", has("s_tags", "ESSENTIAL_OIL") | has("s_tags", "ESSENTIAL_OILS"))
-        .withColumn("s_allergy_hits", _trigger_hits(F.col("s_codes"), F.col("s_corpus"), K.ALLERGY_TRIGGERS))
-        .withColumn("s_avoid_hits", _trigger_hits(F.col("s_codes"), F.col("s_corpus"), K.AVOID_TRIGGERS))
-        .drop("_values")
+    base = dim.withColumns({**{f"s_{f}": _codes(_no_null(F.col(f))) for f in fields}, "_values": values, "s_evidence": level})
+    levels = F.create_map(*[x for k, v in K.EVIDENCE_MULTIPLIERS.items() for x in (F.lit(k), F.lit(int(round(v * 100))))])
+    base = base.withColumns(
+        {
+            "s_codes": _codes(F.col("_values")),
+            "s_corpus": F.array_join(F.transform("_values", T.lower_text), " "),
+            "s_ev": F.coalesce(F.try_element_at(levels, F.col("s_evidence")), F.lit(int(round(K.EVIDENCE_DEFAULT * 100)))),
+            "s_benefits": F.array_distinct(
+                F.concat(
+                    F.col("s_helps"),
+                    expand_codes(F.col("s_functions"), K.FUNCTION_DIMENSIONS),
+                    expand_codes(F.col("s_tags"), K.TAG_DIMENSIONS),
+                )
+            ),
+        }
     )
+    has = F.array_contains
+    return base.withColumns(
+        {
+            "s_soothing": has("s_functions", "SOOTHING")
+            | has("s_functions", "ANTI_INFLAMMATORY")
+            | has("s_tags", "SOOTHING")
+            | has("s_benefits", "REDNESS"),
+            "s_fragrance": has("s_tags", "FRAGRANCE") | has("s_avoid_for", "FRAGRANCE_ALLERGY") | has("s_risk_flags", "ALLERGEN"),
+            "s_essential": has("s_tags", "ESSENTIAL_OIL") | has("s_tags", "ESSENTIAL_OILS"),
+            "s_allergy_hits": _trigger_hits(F.col("s_codes"), F.col("s_corpus"), K.ALLERGY_TRIGGERS),
+            "s_avoid_hits": _trigger_hits(F.col("s_codes"), F.col("s_corpus"), K.AVOID_TRIGGERS),
+        }
+    ).drop("_values")
 
 
 def profile_hits(codes: Column, terms: Column, fixed_hits: Column, groups: dict) -> Column:
@@ -183,12 +178,12 @@ def score_lines(rows: DataFrame) -> DataFrame:
     when the name is unknown) and context columns (c_*).
     """
     known = F.col("ingredient_id").isNotNull()
-    out = (
-        rows.withColumn("benefits", F.filter("s_benefits", lambda d: F.array_contains(F.col("c_desired"), d)))
-        .withColumn(
-            "allergy_hits", profile_hits(F.col("c_allergy"), F.col("c_allergy_terms"), F.col("s_allergy_hits"), K.ALLERGY_TRIGGERS)
-        )
-        .withColumn("avoid_hits", profile_hits(F.col("c_avoid"), F.col("c_avoid_terms"), F.col("s_avoid_hits"), K.AVOID_TRIGGERS))
+    out = rows.withColumns(
+        {
+            "benefits": F.filter("s_benefits", lambda d: F.array_contains(F.col("c_desired"), d)),
+            "allergy_hits": profile_hits(F.col("c_allergy"), F.col("c_allergy_terms"), F.col("s_allergy_hits"), K.ALLERGY_TRIGGERS),
+            "avoid_hits": profile_hits(F.col("c_avoid"), F.col("c_avoid_terms"), F.col("s_avoid_hits"), K.AVOID_TRIGGERS),
+        }
     )
     w, ev, m = F.col("w"), F.col("s_ev"), F.col("c_mult")
     irritation, comedo = F.col("irritation"), F.col("comedogenic")
@@ -275,15 +270,16 @@ def score_lines(rows: DataFrame) -> DataFrame:
             said(allergy, F.lit(" overlaps with one of your listed allergy triggers.")),
         )
     )
-    out = (
-        out.withColumn("penalty", penalty.cast("bigint"))
-        .withColumn("positive", positive.cast("bigint"))
-        .withColumn("negative", negative.cast("bigint"))
-        .withColumn("net", F.floor((F.col("positive") - F.col("negative") + 500) / 1000).cast("bigint"))
-        .withColumn("positive_reasons", positive_reasons)
-        .withColumn("negative_reasons", negative_reasons)
-        .withColumn("safety_reasons", safety_reasons)
-    )
+    out = out.withColumns(
+        {
+            "penalty": penalty.cast("bigint"),
+            "positive": positive.cast("bigint"),
+            "negative": negative.cast("bigint"),
+            "positive_reasons": positive_reasons,
+            "negative_reasons": negative_reasons,
+            "safety_reasons": safety_reasons,
+        }
+    ).withColumn("net", F.floor((F.col("positive") - F.col("negative") + 500) / 1000).cast("bigint"))
     label = (
         F.when(F.col("ingredient_id").isNull(), "Neutral")
         .when((F.col("net") <= -200) | (F.size("negative_reasons") >= 2), "Low Match")
@@ -305,9 +301,9 @@ def scored_rows(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles:
         "ingredient_id", "risk_level", "irritation", "comedogenic", "display_purpose", "purpose", "simple_explanation",
         "functions", "helps", *extra, *SIGNAL_COLUMNS,
     )
-    rows = position_weights(lines, "display_name").join(sig, "ingredient_id", "left")
     asked = requests.join(profile_context(profiles), "profile_id")
-    return score_lines(rows.join(asked, "list_id"))
+    rows = position_weights(lines, "display_name").join(asked, "list_id")
+    return score_lines(rows.join(sig, "ingredient_id", "left"))
 
 
 SIGNAL_COLUMNS = [
@@ -322,20 +318,29 @@ def clamp_score(units: Column, unit: int = UNIT) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(units / unit + F.lit(0.5)))).cast("bigint")
 
 
-def pair_scores(scored: DataFrame) -> DataFrame:
-    """Safety and suitability per request: one map-side combined aggregate."""
+def score_aggregates() -> list[Column]:
     unknown = F.sum(F.when(F.col("ingredient_id").isNull(), 1).otherwise(0)).cast("bigint")
-    sums = scored.groupBy(*PAIR).agg(
+    return [
         F.count(F.lit(1)).alias("line_count"),
-        unknown.alias("unknown_count"),
+        unknown.alias("unknown_lines"),
         F.sum("penalty").alias("penalty"),
         F.sum("net").alias("net"),
-    )
-    u = F.col("unknown_count")
+    ]
+
+
+def score_columns() -> tuple[Column, Column]:
+    """Safety and suitability out of the summed columns."""
+    u = F.col("unknown_lines")
     safety = F.lit(100 * UNIT) - F.col("penalty") - F.least(F.lit(10), u * 2) * UNIT
     suit = F.lit(60 * 100) + F.col("net") - F.least(F.lit(600), u * 150)
-    return sums.select(
-        *PAIR, "line_count", "unknown_count", clamp_score(safety).alias("safety_score"), clamp_score(suit, 100).alias("suitability_score")
+    return clamp_score(safety), clamp_score(suit, 100)
+
+
+def pair_scores(scored: DataFrame) -> DataFrame:
+    """Safety and suitability per request: one map-side combined aggregate."""
+    safety, suit = score_columns()
+    return scored.groupBy(*PAIR).agg(*score_aggregates()).select(
+        *PAIR, "line_count", F.col("unknown_lines").alias("unknown_count"), safety.alias("safety_score"), suit.alias("suitability_score")
     )
 
 
@@ -361,17 +366,19 @@ def top_messages(scored: DataFrame, reasons: str, impact: str, k: int = 5) -> Da
 
 
 def top_ingredients(scored: DataFrame, k: int = 3) -> DataFrame:
-    """Strongest and weakest lines of each request."""
-    cols = [*PAIR, "position", "display_name", "net"]
-    up = top_per_group(scored.where("net > 80").select(*cols), PAIR, [F.col("net").desc(), F.col("position")], k)
-    down = top_per_group(scored.where("net < -80").select(*cols), PAIR, [F.col("net"), F.col("position")], k)
-    return up.withColumn("side", F.lit("strength")).unionByName(down.withColumn("side", F.lit("weakness")))
+    """Strongest and weakest lines of each request, both sides in one window pass."""
+    side = F.when(F.col("net") > 80, "strength").when(F.col("net") < -80, "weakness")
+    rows = scored.select(*PAIR, "position", "display_name", "net", side.alias("side")).where("side IS NOT NULL")
+    return top_per_group(rows, [*PAIR, "side"], [F.abs("net").desc(), F.col("position")], k)
+
 
+def packed_sides(ranked: DataFrame) -> DataFrame:
+    """At most k names per side of a request as comma-joined text."""
+    def names(side):
+        kept = F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("rank", "display_name"))))
+        return F.array_join(F.transform(kept, lambda p: p["display_name"]), ", ")
 
-def packed(ranked: DataFrame, value: str, out: str) -> DataFrame:
-    """At most k ranked values of a request as one array."""
-    pairs = F.sort_array(F.collect_list(F.struct("rank", value)))
-    return ranked.groupBy(*PAIR).agg(F.transform(pairs, lambda p: p[value]).alias(out))
+    return ranked.groupBy(*PAIR).agg(names("strength").alias("strengths"), names("weakness").alias("weaknesses"))
 
 
 def breakdown(scored: DataFrame) -> DataFrame:

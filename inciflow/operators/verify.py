@@ -53,44 +53,47 @@ def token_flags(tokens: DataFrame) -> DataFrame:
     )
 
 
-def list_counters(resolved: DataFrame, dim: DataFrame) -> DataFrame:
-    """Quality counters of each list over resolved rows.
-
-    Rows are first combined per (list, name), which map-side aggregation does
-    well and which bounds a hot list by its number of different names.
-    """
-    facts = dim.select("ingredient_id", F.col("tags").alias("_tags"), F.col("name").alias("_name"))
-    shown = F.when(F.col("match_type").isin("fuzzy", "unknown"), F.col("normalized_input")).otherwise(F.col("canonical_name"))
-    per_name = resolved.groupBy("list_id", "raw_name", "normalized_input", "match_type", "ingredient_id", T.compact_key(shown).alias("key")).agg(
-        F.count(F.lit(1)).alias("n")
+def support_signal() -> Column:
+    """Ingredient rows that a complete formula is expected to have."""
+    tags, name = F.col("tags"), F.col("name")
+    return (
+        F.arrays_overlap(tags, T.str_array(["preservative", "solvent", "surfactant", "emulsifier"]))
+        | (name == "water")
+        | T.any_of(name, ["alcohol", "extract", "juice"])
     )
-    rows = per_name.join(facts, "ingredient_id", "left")
-    known, n, raw = F.col("ingredient_id").isNotNull(), F.col("n"), F.col("raw_name")
 
-    def tagged(tag):
-        return F.array_contains("_tags", tag)
 
-    support = known & (
-        tagged("preservative") | tagged("solvent") | tagged("surfactant") | tagged("emulsifier")
-        | (F.col("_name") == "water") | F.col("_name").contains("alcohol")
-        | F.col("_name").contains("extract") | F.col("_name").contains("juice")
-    )
+def token_facts() -> dict[str, Column]:
+    """Facts of one name (raw_name, normalized_input, shown_name, ingredient_id)."""
+    raw = F.col("raw_name")
+    return {
+        "v_key": T.compact_key(F.col("shown_name")),
+        "v_plausible": F.col("ingredient_id").isNull() & plausible_inci(F.col("normalized_input")),
+        "v_percent": percent_only(raw),
+        "v_sentence": looks_like_sentence(raw),
+        "v_marketing": has_marketing(raw) | has_emoji(raw),
+    }
+
+
+def counter_aggregates() -> list[Column]:
+    """Quality counters over resolved rows; plain sums, combined on the map side."""
+    known = F.col("ingredient_id").isNotNull()
+    return [
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_distinct("v_key").alias("ingredient_count"),
+        _count(known).alias("matched_count"),
+        _count(~known).alias("unknown_count"),
+        _count(F.col("v_plausible")).alias("plausible_count"),
+        _count(F.col("match_type").isin("alias", "synonym")).alias("alias_count"),
+        _count(F.col("v_percent")).alias("percent_count"),
+        _count(F.col("v_sentence")).alias("sentence_count"),
+        _count(F.col("v_marketing")).alias("marketing_count"),
+        F.coalesce(F.bool_or("v_support"), F.lit(False)).alias("has_support"),
+    ]
 
-    def total(cond):
-        return F.sum(F.when(cond, n).otherwise(0)).cast("bigint")
-
-    return rows.groupBy("list_id").agg(
-        F.sum("n").cast("bigint").alias("row_count"),
-        F.count_distinct("key").alias("ingredient_count"),
-        total(known).alias("matched_count"),
-        total(~known).alias("unknown_count"),
-        total(~known & plausible_inci(F.col("normalized_input"))).alias("plausible_count"),
-        total(F.col("match_type").isin("alias", "synonym")).alias("alias_count"),
-        total(percent_only(raw)).alias("percent_count"),
-        total(looks_like_sentence(raw)).alias("sentence_count"),
-        total(has_marketing(raw) | has_emoji(raw)).alias("marketing_count"),
-        F.coalesce(F.bool_or(support), F.lit(False)).alias("has_support"),
-    )
+
+def list_counters(resolved: DataFrame) -> DataFrame:
+    return resolved.groupBy("list_id").agg(*counter_aggregates())
 
 
 def _ceil_share(n: Column, percent: int) -> Column:

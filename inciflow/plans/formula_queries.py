@@ -150,7 +150,7 @@ _CNT_COLS = (
 
 @query("e1_list_counters", ctes(f"SELECT {_CNT_COLS} FROM cnt", **CNT))
 def e1_list_counters(spark, sf):
-    return V.list_counters(resolved_lines(spark, sf), B.dimension(spark, sf))
+    return V.list_counters(resolved_lines(spark, sf))
 
 
 _DOC_TOKENS = f"SELECT doc_id AS list_id, unnest({D.raw_tokens('text')}) AS raw_name FROM documents"
@@ -177,7 +177,7 @@ def e1_text_token_counters(spark, sf):
     ),
 )
 def e2_verify_lists(spark, sf):
-    counters = V.list_counters(resolved_lines(spark, sf), B.dimension(spark, sf))
+    counters = V.list_counters(resolved_lines(spark, sf))
     out = V.verify_lists(counters, ORDER_MIN)
     return out.select("list_id", "rule", "verified", "match_rate", V.reason_text(ORDER_MIN, F.expr(SITE)).alias("reason"))
 
@@ -187,7 +187,7 @@ def e2_verify_lists(spark, sf):
     ctes("SELECT list_id, ingredient_count, rule, verified, match_rate FROM ver", **LONG_CNT, ver=Q.verified(K.MIN_LIST_SIZE)),
 )
 def e2_verify_long_lists(spark, sf):
-    counters = V.list_counters(long_resolved(spark, sf), B.dimension(spark, sf))
+    counters = V.list_counters(long_resolved(spark, sf))
     return V.verify_lists(counters).select("list_id", "ingredient_count", "rule", "verified", "match_rate")
 
 
@@ -199,7 +199,7 @@ def e2_verify_long_lists(spark, sf):
     ),
 )
 def e3_verification_confidence(spark, sf):
-    out = V.verify_lists(V.list_counters(resolved_lines(spark, sf), B.dimension(spark, sf)), ORDER_MIN)
+    out = V.verify_lists(V.list_counters(resolved_lines(spark, sf)), ORDER_MIN)
     conf = V.verification_confidence(F.expr(METHOD), F.expr(SITE), F.expr(BRAND))
     return out.select("list_id", "rule", conf.alias("confidence"))
 
@@ -215,7 +215,7 @@ _AC, _AN = Q.analysis_confidence("method", "site", "brand")
     ),
 )
 def e4_analysis_confidence(spark, sf):
-    counters = V.list_counters(resolved_lines(spark, sf), B.dimension(spark, sf))
+    counters = V.list_counters(resolved_lines(spark, sf))
     score, notes = V.analysis_confidence(F.expr(METHOD), F.expr(SITE), F.expr(BRAND))
     return counters.select("list_id", score.alias("confidence_score"), F.array_join(notes, " | ").alias("details"))
 
@@ -375,38 +375,40 @@ def f14_breakdown(spark, sf):
 
 
 def analyze(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame, min_count: int = K.MIN_LIST_SIZE, fuzzy: bool = False) -> DataFrame:
-    """One row per request: gate, scores, verdict, confidence, messages.
+    """One row per request: gate, scores, verdict, confidence, strengths and weaknesses.
 
     Lists are typed in by hand, so brand and site are both `Manual Input`.
+    Verification counters and score sums come out of the same aggregate.
     """
     resolved = R.resolve_names(lines, dim, fuzzy)
-    checked = V.verify_lists(V.list_counters(resolved, dim), min_count)
-    score, notes = V.analysis_confidence(F.lit("manual-input"), F.lit("Manual Input"), F.lit("Manual Input"))
-    gate = checked.select("list_id", "verified", "rule", score.alias("confidence_score"))
-    passed = resolved.join(gate.where("verified").select("list_id"), "list_id", "left_semi")
-    scored = S.scored_rows(display_lines(passed), requests, dim, profiles)
-    pairs = S.pair_scores(scored)
-    best = S.top_ingredients(scored)
-    strengths = S.packed(best.where("side = 'strength'"), "display_name", "strengths")
-    weaknesses = S.packed(best.where("side = 'weakness'"), "display_name", "weaknesses")
+    scored = S.scored_rows(resolved.withColumn("display_name", F.col("canonical_name")), requests, dim, profiles)
+    sums = scored.groupBy(*S.PAIR).agg(*V.counter_aggregates(), *S.score_aggregates())
+    checked = V.verify_lists(sums, min_count)
+    manual = F.lit("Manual Input")
+    confidence, _ = V.analysis_confidence(F.lit("manual-input"), manual, manual)
+    safety, suit = S.score_columns()
+    ok = F.col("verified")
+    rows = checked.select(
+        *S.PAIR,
+        "rule",
+        ok,
+        F.when(ok, safety).alias("safety_score"),
+        F.when(ok, suit).alias("suitability_score"),
+        F.when(ok, confidence).otherwise(0).cast("bigint").alias("confidence_score"),
+    )
+    tops = S.packed_sides(S.top_ingredients(scored))
     sa, su = F.col("safety_score"), F.col("suitability_score")
-    none = F.array().cast("array<string>")
-    return (
-        requests.join(gate, "list_id")
-        .join(pairs, S.PAIR, "left")
-        .join(strengths, S.PAIR, "left")
-        .join(weaknesses, S.PAIR, "left")
-        .select(
-            *S.PAIR,
-            F.when(F.col("verified"), "VERIFIED_INGREDIENTS_FOUND").otherwise("NO_VERIFIED_INGREDIENTS").alias("status"),
-            "rule",
-            sa, su,
-            S.overall(sa, su).alias("overall_score"),
-            F.when(F.col("verified"), F.col("confidence_score")).otherwise(0).cast("bigint").alias("confidence_score"),
-            F.when(F.col("verified"), S.verdict_text(sa, su)).alias("verdict"),
-            F.array_join(F.coalesce("strengths", none), ", ").alias("strengths"),
-            F.array_join(F.coalesce("weaknesses", none), ", ").alias("weaknesses"),
-        )
+    return rows.join(tops, S.PAIR, "left").select(
+        *S.PAIR,
+        F.when(ok, "VERIFIED_INGREDIENTS_FOUND").otherwise("NO_VERIFIED_INGREDIENTS").alias("status"),
+        "rule",
+        sa,
+        su,
+        S.overall(sa, su).alias("overall_score"),
+        "confidence_score",
+        F.when(ok, S.verdict_text(sa, su)).alias("verdict"),
+        F.when(ok, T.text(F.col("strengths"))).otherwise("").alias("strengths"),
+        F.when(ok, T.text(F.col("weaknesses"))).otherwise("").alias("weaknesses"),
     )
 
 
