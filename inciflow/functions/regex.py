@@ -7,6 +7,7 @@ and from each other, so patterns are adapted once, here.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -19,12 +20,26 @@ _JAVA_EDGE = (
 )
 
 
-def _adapt(pattern: str, edge: str) -> str:
+_WORD_AHEAD = re.compile(r"(?:\(\?:)?(?:[A-Za-z0-9]|\\d)", re.ASCII)
+_WORD_BEHIND = re.compile(r"(?<!\\)[A-Za-z0-9]\??\Z", re.ASCII)
+
+
+def _java_edge(pattern: str, i: int) -> str:
+    """Cheapest equivalent of an ASCII word edge at offset i of a pattern."""
+    before, after = pattern[:i], pattern[i + 2 :]
+    if _WORD_AHEAD.match(after) and (not before or before[-1] in "|(:"):
+        return r"(?<![A-Za-z0-9_])"
+    if _WORD_BEHIND.search(before):
+        return r"(?![A-Za-z0-9_])"
+    return _JAVA_EDGE
+
+
+def _adapt(pattern: str, edge: str | None) -> str:
     out, in_class, i = [], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b" and not in_class:
-            out.append(edge)
+            out.append(_java_edge(pattern, i) if edge is None else edge)
             i += 2
         elif two == r"\s":
             out.append(SPACE_SET if in_class else SPACES)
@@ -49,7 +64,7 @@ def _adapt(pattern: str, edge: str) -> str:
 
 @lru_cache(maxsize=None)
 def java(pattern: str, ignore_case: bool = True) -> str:
-    return ("(?i)" if ignore_case else "") + _adapt(pattern, _JAVA_EDGE)
+    return ("(?i)" if ignore_case else "") + _adapt(pattern, None)
 
 
 @lru_cache(maxsize=None)
@@ -80,3 +95,34 @@ def ligatures() -> tuple[tuple[str, str], ...]:
         if len(base) > 1 and base.isascii() and base.isalpha() and base.islower() and unicodedata.name(ch, "").startswith("LATIN"):
             found.append((ch, base))
     return tuple(found)
+
+
+@lru_cache(maxsize=None)
+def literal_guard(pattern: str) -> str:
+    """Longest literal run every hit of a pattern must contain, in lower case."""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        step = 1
+        if ch == "\\":
+            step = 2
+            literal = pattern[i + 1] if pattern[i + 1] in "|().+" else None
+        elif ch == "[":
+            step = pattern.index("]", i) + 1 - i
+            literal = None
+        elif ch == "(":
+            depth, literal = depth + 1, None
+        elif ch == ")":
+            depth, literal = depth - 1, None
+        elif ch in "?*+{}^$|.":
+            literal = None
+        else:
+            literal = ch
+        optional = pattern[i + step : i + step + 1] in ("?", "*", "{")
+        if literal is None or depth or optional:
+            runs.append(run)
+            run = ""
+        else:
+            run += literal.lower()
+        i += step
+    return max([*runs, run], key=len)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .regex import SPACES, accent_table, java, ligatures
+from .regex import SPACES, accent_table, java, ligatures, literal_guard
 
 
 # ------------------------------------------------------------------ primitives
@@ -214,19 +214,27 @@ def split_label(c: Column) -> Column:
 
 
 # ------------------------------------------------------------------ titles
-_TITLE_ANY = "|".join(f"(?:{p})" for p in K.TITLE_NOISE + K.TITLE_MARKETING)
+def _steps(patterns: Sequence[str], first_only: bool) -> list[Column]:
+    out = []
+    for p in patterns:
+        regex = r"(?is)\A(.*?)(?:" + java(p, False) + ")" if first_only else java(p)
+        out.append(F.struct(F.lit(literal_guard(p)).alias("word"), F.lit(regex).alias("regex"), F.lit("$1 " if first_only else " ").alias("repl")))
+    return out
+
+
+def apply_steps(c: Column, steps: list[Column], tidy) -> Column:
+    """Replacements one after another; a step whose literal word is absent costs a substring test only."""
+
+    def step(acc, s):
+        return F.when(F.lower(acc).contains(s["word"]), tidy(F.regexp_replace(acc, s["regex"], s["repl"]))).otherwise(acc)
+
+    return F.aggregate(F.array(*steps), c, step)
 
 
 def clean_title(c: Column) -> Column:
-    """Noise and marketing removed; texts with no hit skip the pattern chain."""
-    base = ws(c)
-    x = base
-    for p in K.TITLE_NOISE:
-        x = squeeze(sub_all(x, p))
-    for p in K.TITLE_MARKETING:
-        x = squeeze(sub_first(x, p))
-    cleaned = F.when(has(base, _TITLE_ANY), x).otherwise(base)
-    return squeeze(F.regexp_replace(cleaned, "[|:]+", " "))
+    """Noise removed everywhere, then the first hit of each marketing phrase, then pipes and colons."""
+    x = apply_steps(ws(c), _steps(K.TITLE_NOISE, False) + _steps(K.TITLE_MARKETING, True), squeeze)
+    return squeeze(F.regexp_replace(x, "[|:]+", " "))
 
 
 def last_size(cleaned: Column) -> Column:
@@ -403,11 +411,7 @@ def match_text(c: Column) -> Column:
     x = F.regexp_replace(x, r"[|_/,:;()\[\]{}]+", " ")
     x = F.regexp_replace(x, r"[+]+", " + ")
     x = sub_all(x, r"[^A-Za-z0-9_\s%&.+-]+")
-    hit = has(x, "|".join(K.MATCH_NOISE))
-    y = x
-    for p in K.MATCH_NOISE:
-        y = sub_all(y, p)
-    return ws(F.when(hit, y).otherwise(x))
+    return ws(apply_steps(x, _steps(K.MATCH_NOISE, False), lambda y: y))
 
 
 def tags_of(lowered: Column, rules) -> Column:
