@@ -435,8 +435,8 @@ IMAGE_ACCEPT = r"main|product|gallery|media|carousel|thumbnail|thumb|zoom|pdp|va
 IMAGE_SIZE_PATTERNS = [
     (r"[?&](?:width|height|w|h)=([0-9]{2,5})", 1),
     (r"(?:SX|SY|UX|UY|UL|SL)([0-9]{2,5})", 1),
-    (r"([0-9]{2,5})x[0-9]{2,5}", 1),
-    (r"[0-9]{2,5}x([0-9]{2,5})", 1),
+    (r"([0-9]{2,5})x([0-9]{2,5})", 1),
+    (r"([0-9]{2,5})x([0-9]{2,5})", 2),
     (r"[_-]([0-9]{2,5})(?:\.|_|-|$)", 1),
 ]
 IMAGE_RANK_RULES = [

@@ -151,6 +151,7 @@ def page_blocks() -> str:
         "' oil</td></tr><tr><td>3</td><td>Sodium ' || lower(p_type) || '</td></tr></table>'",
         "'<p>Read <a href=\"//duckduckgo.com/l/?uddg=https%3A%2F%2Fshop.example.com%2Fproducts%2F' || replace(p_name, ' ', '-') || "
         "'&rut=1\">buy</a> or <a class=\"x\" href=\"https://m.example.com/shop/' || replace(p_name, ' ', '-') || '?item=' || CAST(p_size AS STRING) || '\">item page</a></p>'",
+        "'<p><a href=\"/products/' || replace(p_name, ' ', '-') || '\">see <b>item</b></a></p>'",
     ]
     return " || ".join(parts)
 
