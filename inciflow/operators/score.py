@@ -424,21 +424,19 @@ def score_band(c: Column) -> Column:
     return F.when(c >= 75, "Safe").when(c >= 50, "Moderate").otherwise("Risky")
 
 
-def quick_scores(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Light scoring by exact lower-case name: one aggregate per request."""
+def quick_rows(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Lines matched by exact lower-case name, with losses and messages per request."""
     first = dim.select(
         F.col("name").alias("raw_key"), F.col("ingredient_id").alias("q_id"), "risk_level", "irritation", "comedogenic",
         F.col("tags").alias("q_tags"), F.col("suitable_skin_types").alias("q_suit"), F.col("avoid_skin_types").alias("q_avoid"),
     )
+    codes = F.filter(_no_null(F.col("allergies")), lambda a: ~a.isin("NONE", "OTHER"))
     prof = profiles.select(
         "profile_id",
         "skin_type",
         F.col("concerns").alias("q_concerns"),
         F.concat(
-            F.transform(
-                F.array_except(_no_null(F.col("allergies")), F.array(F.lit("NONE"), F.lit("OTHER"))),
-                lambda a: F.replace(F.lower(a), F.lit("_"), F.lit(" ")),
-            ),
+            F.transform(codes, lambda a: F.replace(F.lower(a), F.lit("_"), F.lit(" "))),
             F.array_compact(F.array(T.blank(F.lower(F.col("other_allergy"))))),
         ).alias("q_allergies"),
     )
@@ -448,36 +446,59 @@ def quick_scores(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles
         .join(first, "raw_key", "left")
         .join(requests.join(prof, "profile_id"), "list_id")
     )
-    known = F.col("q_id").isNotNull()
-    skin, tags = F.col("skin_type"), F.col("q_tags")
+    known, skin, tags, name = F.col("q_id").isNotNull(), F.col("skin_type"), F.col("q_tags"), F.col("raw_key")
     allergic = F.exists(
         "q_allergies",
-        lambda a: F.col("raw_key").contains(a)
-        | F.col("raw_key").contains(F.replace(a, F.lit(" "), F.lit("")))
-        | F.array_contains(tags, a),
+        lambda a: name.contains(a) | name.contains(F.replace(a, F.lit(" "), F.lit(""))) | F.array_contains(tags, a),
     )
+    facts = {
+        "q_heavy": (skin == "OILY") & (F.col("comedogenic") >= 3),
+        "q_reactive": (skin == "SENSITIVE") & ((F.col("irritation") >= 2) | F.array_contains(tags, "fragrance")),
+        "q_dry": (skin == "DRY") & F.array_contains(tags, "hydrating"),
+        "q_acne": F.array_contains("q_concerns", "ACNE") & F.array_contains(tags, "anti-acne"),
+        "q_fits": F.array_contains("q_suit", skin),
+        "q_avoided": F.array_contains("q_avoid", skin),
+        "q_allergic": allergic,
+    }
+    rows = rows.withColumns({k: known & F.coalesce(v, F.lit(False)) for k, v in facts.items()})
+
+    def pts(cond, value):
+        return F.when(F.col(cond), value).otherwise(0)
+
     risk = F.lit(0)
     for level, value in K.QUICK_RISK_PENALTY.items():
         risk = F.when(F.col("risk_level") == level, value).otherwise(risk)
-    safety_loss = F.when(known, risk + F.col("irritation") * 7 + F.col("comedogenic") * 5 + F.when(allergic, 8).otherwise(0)).otherwise(6)
-    heavy = (skin == "OILY") & (F.col("comedogenic") >= 3)
-    reactive = (skin == "SENSITIVE") & ((F.col("irritation") >= 2) | F.array_contains(tags, "fragrance"))
-    dry = (skin == "DRY") & F.array_contains(tags, "hydrating")
-    acne = F.array_contains("q_concerns", "ACNE") & F.array_contains(tags, "anti-acne")
-    avoided = F.array_contains("q_avoid", skin)
+    say = lambda cond, *parts: F.when(F.col(cond), F.concat(name, *parts))
+    return rows.withColumns(
+        {
+            "safety_loss": F.when(known, risk + F.col("irritation") * 7 + F.col("comedogenic") * 5 + pts("q_allergic", 8)).otherwise(6),
+            "suit_loss": F.when(
+                known,
+                pts("q_heavy", 18) + pts("q_reactive", 18) - pts("q_dry", 5) - pts("q_acne", 6) - pts("q_fits", 4) + pts("q_avoided", 14) + pts("q_allergic", 22),
+            ).otherwise(4),
+            "quick_pros": F.array_compact(
+                F.array(say("q_dry", F.lit(" boosts hydration for dry skin.")), say("q_acne", F.lit(" supports acne-focused care.")))
+            ),
+            "quick_cons": F.array_compact(
+                F.array(
+                    say("q_heavy", F.lit(" may feel too heavy for oily skin.")),
+                    say("q_reactive", F.lit(" can trigger sensitivity or redness.")),
+                    say("q_avoided", F.lit(" is usually avoided for "), F.lower(skin), F.lit(" skin.")),
+                    say("q_allergic", F.lit(" overlaps with your listed allergy trigger.")),
+                )
+            ),
+        }
+    )
 
-    def pts(cond, value):
-        return F.when(cond, value).otherwise(0)
 
-    suit_loss = F.when(
-        known,
-        pts(heavy, 18) + pts(reactive, 18) - pts(dry, 5) - pts(acne, 6) - pts(F.array_contains("q_suit", skin), 4) + pts(avoided, 14) + pts(allergic, 22),
-    ).otherwise(4)
+def quick_scores(rows: DataFrame) -> DataFrame:
+    """Light scoring: one aggregate per request."""
+    known = F.col("q_id").isNotNull()
     sums = rows.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(known, 1).otherwise(0)).alias("matched"),
-        F.sum(safety_loss).alias("safety_loss"),
-        F.sum(suit_loss).alias("suit_loss"),
+        F.sum("safety_loss").alias("safety_loss"),
+        F.sum("suit_loss").alias("suit_loss"),
     )
     safety = F.lit(88) - F.col("safety_loss") - F.when(F.col("n") >= 10, F.least(F.lit(10), F.col("n") - 9)).otherwise(0)
     suit = F.lit(84) - F.col("suit_loss") - F.when(F.col("matched") >= 1, 2).otherwise(0)
@@ -495,3 +516,41 @@ def quick_scores(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles
         F.greatest(F.lit(0), F.least(F.lit(94), suit)).cast("bigint").alias("suitability_score"),
         verdict.alias("verdict"),
     )
+
+
+def profile_signature(context: DataFrame) -> DataFrame:
+    """profile_id, signature: profiles that score alike share one."""
+    cols = [c for c in context.columns if c != "profile_id"]
+    return context.withColumn("signature", F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256))
+
+
+def score_all(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Scores of every request, worked out once per distinct (signature, list).
+
+    Many users share a signature, so popular lists are scored once per way of
+    looking at them instead of once per user.
+    """
+    context = profile_signature(profile_context(profiles))
+    asked = requests.join(context.select("profile_id", "signature"), "profile_id")
+    distinct = asked.select(F.col("signature").alias("profile_id"), "list_id").distinct()
+    one = context.groupBy("signature").agg(F.first(F.struct(*[c for c in context.columns if c.startswith("c_")])).alias("c"))
+    one = one.select(F.col("signature").alias("profile_id"), "c.*")
+    rows = position_weights(lines, "display_name").join(distinct, "list_id").join(one, "profile_id")
+    sig = ingredient_signals(dim).select("ingredient_id", "risk_level", "irritation", "comedogenic", *SIGNAL_COLUMNS)
+    scores = pair_scores(score_lines(rows.join(sig, "ingredient_id", "left"))).withColumnRenamed("profile_id", "signature")
+    return asked.distinct().join(scores, ["signature", "list_id"]).drop("signature")
+
+
+def quick_messages(rows: DataFrame, reasons: str, k: int) -> DataFrame:
+    """First k distinct messages of a request in list order; unmatched names are counted in a last one."""
+    said = rows.select(*PAIR, "position", F.posexplode(reasons).alias("i", "message"))
+    if reasons == "quick_cons":
+        n = F.col("n")
+        text = F.concat(
+            n.cast("string"), F.when(n > 1, " ingredients are").otherwise(" ingredient is"),
+            F.lit(" not yet in the ingredient set, so the score is reduced for uncertainty."),
+        )
+        missing = rows.where("q_id IS NULL").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
+        said = said.unionByName(missing.select(*PAIR, F.lit(2147483647).alias("position"), F.lit(0).alias("i"), text.alias("message")))
+    first = said.groupBy(*PAIR, "message").agg(F.min(F.struct("position", "i")).alias("o"))
+    return top_per_group(first, PAIR, [F.col("o")], k).select(*PAIR, "rank", "message")
