@@ -147,7 +147,7 @@ def a6_learn_ingredients(spark, sf):
 
 @query(
     "a6_upsert_aliases",
-    f"SELECT normalized_alias, arg_min(ingredient_id, o) AS ingredient_id, arg_max(alias, o) AS alias, max(ord) AS ord FROM (SELECT *, (side * 1000000000 + ord) * 10 AS o FROM (SELECT {D.compact_key('p_name')} AS normalized_alias, 0 AS side, p_partkey AS ord, p_partkey AS ingredient_id, p_name AS alias FROM part WHERE p_partkey % 3 = 0 "
+    f"SELECT normalized_alias, arg_min(ingredient_id, o) AS ingredient_id, arg_max(alias, o) AS alias, arg_max(ord, o) AS ord FROM (SELECT *, side * 1000000000 + ord AS o FROM (SELECT {D.compact_key('p_name')} AS normalized_alias, 0 AS side, p_partkey AS ord, p_partkey AS ingredient_id, p_name AS alias FROM part WHERE p_partkey % 3 = 0 "
     f"UNION ALL SELECT {D.compact_key('upper(p_name)')}, 1, p_partkey, p_partkey + 5000000, upper(p_name) FROM part WHERE p_partkey % 3 = 1)) GROUP BY 1",
 )
 def a6_upsert_aliases(spark, sf):
@@ -188,8 +188,10 @@ def a9_upsert_profiles(spark, sf):
 
 
 # ------------------------------------------------------------------ D7 / G
+# Stored products carry their identity columns already.
+_IDCOLS = {"brand": "p_brand", "name": "p_name || ' ' || lower(p_type)", "canonical_name": "p_name", "variant": "CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE '' END", "size": "CAST(p_size % 3 AS STRING) || ' ml'", "category": "''", "sku": "''"}
 _KBPROD = dict(
-    TQ.ENRICHED, ident=TQ.IDENT,
+    enr="SELECT p_partkey, " + ", ".join(f"{v} AS {k}" for k, v in _IDCOLS.items()) + " FROM part", ident=TQ.IDENT,
     fp=f"SELECT p_partkey, brand, canonical_name, variant, category, size, name, {TQ.FP} AS fingerprint FROM enr",
     reqs="SELECT f.p_partkey AS request_id, CASE WHEN f.p_partkey % 4 = 1 THEN 'x' || f.fingerprint ELSE f.fingerprint END AS fingerprint, CASE WHEN f.p_partkey % 8 = 1 THEN '' ELSE brand END AS brand, canonical_name, keys FROM fp f "
     f"JOIN (SELECT p_partkey, {od('k')} AS keys FROM (SELECT p_partkey, {TQ.ALIAS_FORMS} AS k FROM ident)) a USING (p_partkey)",
@@ -201,9 +203,9 @@ _KBPROD = dict(
 
 
 def kb_tables(spark, sf):
-    prod = ST.fingerprint(TQ.enriched(spark, sf))
-    keys = ST.alias_keys(prod, "p_partkey")
-    fp = prod.select("p_partkey", "brand", "canonical_name", "fingerprint")
+    base = B.table(spark, sf, "part").select("p_partkey", *[F.expr(v).alias(k) for k, v in _IDCOLS.items()])
+    keys = ST.alias_keys(base, "p_partkey")
+    fp = ST.fingerprint(base).select("p_partkey", "brand", "canonical_name", "fingerprint")
     shown = F.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("x"), "fingerprint")).otherwise(F.col("fingerprint"))
     asked = keys.groupBy("p_partkey").agg(F.sort_array(F.collect_list(F.struct("ord", "alias_key"))).alias("k"))
     reqs = fp.join(asked, "p_partkey").select(
@@ -545,14 +547,13 @@ def d10_expand_codes(spark, sf):
     return B.profiles(spark, sf).select("profile_id", F.explode(F.array_distinct(both)).alias("dimension"))
 
 
-# Every order's list is asked about by its customer and by the next four customers.
-_WIDE = "SELECT DISTINCT (o_custkey + d) % (SELECT count(*) FROM customer) AS profile_id, o_orderkey AS list_id FROM orders, (VALUES (0), (1), (2), (3), (4)) v(d)"
+# Every order's list is asked about by its customer and by the next four customers there are.
+_WIDE = "SELECT o_custkey + d AS profile_id, o_orderkey AS list_id FROM orders, (VALUES (0), (1), (2), (3), (4)) v(d)"
 
 
 def wide_requests(spark, sf):
-    n = B.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n"))
-    o = B.table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("list_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("d"))
-    return o.join(n, F.lit(True)).select(((F.col("o_custkey") + F.col("d")) % F.col("n")).alias("profile_id"), "list_id").distinct()
+    o = B.table(spark, sf, "orders")
+    return o.select("o_custkey", F.col("o_orderkey").alias("list_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("d")).select((F.col("o_custkey") + F.col("d")).alias("profile_id"), "list_id")
 
 
 WIDE = dict(SCORED, req=_WIDE, ps=Q.PAIR_SCORES)
