@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import formula_queries, page_queries, store_queries, text_queries  # noqa: F401
+from . import formula_queries, page_queries, store_queries, stream_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 

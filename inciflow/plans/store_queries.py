@@ -669,7 +669,7 @@ def h2_overlap_count(spark, sf):
     return KB.overlap_count(pairs, sets)
 
 
-@query("h3_difference", "SELECT DISTINCT p_partkey AS part FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
+@query("h3_difference", "SELECT DISTINCT p_partkey AS part FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'A')")
 def h3_difference(spark, sf):
     a = B.table(spark, sf, "part").select(F.col("p_partkey").alias("part"))
-    return KB.difference(a, B.table(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("part")), "part")
+    return KB.difference(a, B.table(spark, sf, "lineitem").where("l_quantity >= 48 AND l_returnflag = 'A'").select(F.col("l_partkey").alias("part")), "part")
