@@ -165,7 +165,7 @@ _DOC_TOKENS = f"SELECT doc_id AS list_id, unnest({D.raw_tokens('text')}) AS raw_
     ),
 )
 def e1_text_token_counters(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = B.texts(spark, sf, "documents")
     return V.token_flags(docs.select(F.col("doc_id").alias("list_id"), F.explode(T.raw_tokens(F.col("text"))).alias("raw_name")))
 
 

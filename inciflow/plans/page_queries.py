@@ -48,7 +48,7 @@ def a3_page_corpus(spark, sf):
 
 @query("c1_page_text", f"SELECT page_id, md5(t) AS text_hash, CAST(length(t) AS INT) AS text_length FROM (SELECT page_id, {D.visible_text('html')} AS t FROM pages)")
 def c1_page_text(spark, sf):
-    return P.page_text(B.table(spark, sf, "pages")).select("page_id", F.md5("page_text").alias("text_hash"), F.length("page_text").alias("text_length"))
+    return P.page_text(B.texts(spark, sf, "pages")).select("page_id", F.md5("page_text").alias("text_hash"), F.length("page_text").alias("text_length"))
 
 
 # ------------------------------------------------------------------ C2
@@ -252,7 +252,7 @@ def c11_dom_tables(spark, sf):
 @query("c9_page_sections")
 def c9_page_sections(spark, sf):
     """The crawled pages themselves, with a heading word their titles share."""
-    return M.dom_candidates(B.table(spark, sf, "pages"), r"\b(?:the|de|la|der|el)\b", r"\bstop\b").select("page_id", "method", "label", F.length("raw_text").alias("text_length"))
+    return M.dom_candidates(B.texts(spark, sf, "pages"), r"\b(?:the|de|la|der|el)\b", r"\bstop\b").select("page_id", "method", "label", F.length("raw_text").alias("text_length"))
 
 
 # ------------------------------------------------------------------ C12 / C15
@@ -288,7 +288,7 @@ def _body(head):
     ),
 )
 def c12_text_section(spark, sf):
-    df = B.table(spark, sf, "documents").select("doc_id", F.expr(_LISTY_SPARK).alias("s"))
+    df = B.texts(spark, sf, "documents").select("doc_id", F.expr(_LISTY_SPARK).alias("s"))
     return P.text_section(df, "s").select("doc_id", F.md5("section").alias("section_hash"), F.length("section").alias("section_length"))
 
 
@@ -298,7 +298,7 @@ def c12_text_section(spark, sf):
     f"UNION ALL SELECT 'c' || conv_id || '-' || turn, {duck_plausible_dom('text')}, {duck_plausible_text('text')} FROM conversations",
 )
 def c15_plausible_lists(spark, sf):
-    docs = B.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
+    docs = B.texts(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
     turns = B.table(spark, sf, "conversations").select(F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("id"), "text")
     return docs.unionByName(turns).select("id", P.plausible_dom(F.col("text")).alias("dom_ok"), P.plausible_text(F.col("text")).alias("text_ok"))
 
@@ -407,7 +407,7 @@ _SIG = "ingredients?|inci|composition|product details|description"
     "(SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '&q=x' ELSE url END AS url, CASE page_id % 4 WHEN 0 THEN html || ' Security Check' WHEN 1 THEN left(html, 40) ELSE html END AS html FROM pages)",
 )
 def c16_classify_pages(spark, sf):
-    df = B.table(spark, sf, "pages").withColumns(
+    df = B.texts(spark, sf, "pages").withColumns(
         {
             "url": F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("&q=x"))).otherwise(F.col("url")),
             "html": F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit(" Security Check"))).when(F.col("page_id") % 4 == 1, F.expr("left(html, 40)")).otherwise(F.col("html")),
@@ -469,7 +469,7 @@ _URLS = "CASE page_id % 5 WHEN 0 THEN 'https://www.google.co.in/search?q=a' WHEN
     ),
 )
 def c18_classify_urls(spark, sf):
-    df = B.table(spark, sf, "pages").select("page_id", F.expr(_URLS).alias("u"))
+    df = B.texts(spark, sf, "pages").select("page_id", F.expr(_URLS).alias("u"))
     return LK.classify_urls(df, "u").drop("u")
 
 
@@ -823,7 +823,7 @@ _EK = D.evidence_key
     ),
 )
 def c28_grounded_terms(spark, sf):
-    docs, bench = B.table(spark, sf, "documents"), B.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b"))
+    docs, bench = B.texts(spark, sf, "documents"), B.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b"))
     df = docs.join(bench, F.col("item_id") == F.col("doc_id") % 40).withColumn(
         "terms", F.when(F.col("doc_id") % 2 == 0, F.split("text", r"[.\n]+")).otherwise(F.concat(F.split("text", "[,]+"), F.split("b", "[.]+")))
     )

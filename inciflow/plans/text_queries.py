@@ -26,7 +26,7 @@ def unnest_pos(keep: str, arr: str, rel: str, value: str, pos: str = "position")
 
 @query("b1_ingredient_tokens", unnest_pos("list_id", D.split_list("sep"), f"(SELECT doc_id AS list_id, {D.list_separators('text')} AS sep FROM documents)", "raw_name"))
 def b1_ingredient_tokens(spark, sf):
-    return S.explode_ingredients(B.table(spark, sf, "documents"), "text", "doc_id")
+    return S.explode_ingredients(B.texts(spark, sf, "documents"), "text", "doc_id")
 
 
 DRESSED = "upper(p_name) || ' (' || lower(p_type) || ') 5%x ™ & Co_' || p_brand || '.0' || CAST(p_size AS STRING)"
@@ -42,7 +42,7 @@ def b2_lookup_keys(spark, sf):
 
 @query("b2_evidence_keys", f"SELECT doc_id, md5({D.evidence_key('text')}) AS key_hash, CAST(length({D.evidence_key('text')}) AS INT) AS key_length FROM documents")
 def b2_evidence_keys(spark, sf):
-    df = S.add_key(B.table(spark, sf, "documents"), "text", "evidence")
+    df = S.add_key(B.texts(spark, sf, "documents"), "text", "evidence")
     return df.select("doc_id", F.md5("key").alias("key_hash"), F.length("key").alias("key_length"))
 
 
@@ -68,7 +68,7 @@ _SECTION = "text || ' Full Ingredients : ' || text || ' ; a, b ,c Directions: ri
     + " FROM (SELECT doc_id, " + ", ".join(f"{fn('s')} AS {k}" for k, fn in D.SECTIONS.items()) + f" FROM (SELECT doc_id, {_SECTION} AS s FROM documents))",
 )
 def b3_trim_sections(spark, sf):
-    df = B.table(spark, sf, "documents").withColumn("s", F.expr(_SECTION))
+    df = B.texts(spark, sf, "documents").withColumn("s", F.expr(_SECTION))
     for k in T.SECTION_PROFILES:
         df = S.trim_section(df, "s", k, k)
     cols = [c for k in T.SECTION_PROFILES for c in (F.md5(k).alias(f"{k}_hash"), F.length(k).alias(f"{k}_length"))]
@@ -82,7 +82,7 @@ def b4_clean_titles(spark, sf):
 
 @query("b4_clean_page_titles", f"SELECT page_id, {D.clean_title(D.get('html', '<title[^>]*>([^<]+)</title>'))} AS clean_title FROM pages")
 def b4_clean_page_titles(spark, sf):
-    df = B.table(spark, sf, "pages").withColumn("t", T.get(F.col("html"), "<title[^>]*>([^<]+)</title>"))
+    df = B.texts(spark, sf, "pages").withColumn("t", T.get(F.col("html"), "<title[^>]*>([^<]+)</title>"))
     return S.clean_title(df, "t").select("page_id", "clean_title")
 
 
@@ -171,7 +171,7 @@ _URL = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '/gentle-face-wash_5
     ),
 )
 def b9_name_from_url(spark, sf):
-    df = B.table(spark, sf, "pages").withColumn("u", F.expr(_URL))
+    df = B.texts(spark, sf, "pages").withColumn("u", F.expr(_URL))
     return S.name_from_url(df, "u", "page_id")
 
 
@@ -248,7 +248,7 @@ _WORD_RULES = [("article", [r"\bthe\b", r"\bun[ea]?\b"]), ("link", [r"\band\b",
 
 @query("b12_tag_documents", f"SELECT doc_id, {joined(D.tags_of('lower(text)', _WORD_RULES))} AS tags FROM documents")
 def b12_tag_documents(spark, sf):
-    return S.tag_text(B.table(spark, sf, "documents"), "text", _WORD_RULES).select("doc_id", F.array_join("tags", "|").alias("tags"))
+    return S.tag_text(B.texts(spark, sf, "documents"), "text", _WORD_RULES).select("doc_id", F.array_join("tags", "|").alias("tags"))
 
 
 IDENT = (

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import rank_in_group
+from .tables import spread
 
 
 class _Spark:
@@ -161,6 +162,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey", "conversations": "conv_id"}
+
+
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts on its way to pattern-heavy work."""
+    return spread(table(spark, sf, name), KEYS[name])
+
+
 def raw_dim(spark: SparkSession, sf: str) -> DataFrame:
     first = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(
         F.min("p_partkey").alias("k"),
@@ -215,13 +224,13 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf: str) -> DataFrame:
     """Products with a composed title and a noisy copy of it."""
-    part = table(spark, sf, "part")
+    part = texts(spark, sf, "part")
     return part.withColumn("title", F.expr(LISTING_TITLE)).withColumn("noisy", F.expr(NOISY_TITLE))
 
 
 def product_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Crawled pages with the product markup of the part of the same number appended."""
-    pages, part = table(spark, sf, "pages"), table(spark, sf, "part")
+    pages, part = texts(spark, sf, "pages"), table(spark, sf, "part")
     return pages.join(part, pages.page_id == part.p_partkey).select(
         "page_id", "url", F.concat("html", F.expr(page_blocks())).alias("html"), "p_brand", "p_name", "p_type"
     )

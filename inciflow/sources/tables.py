@@ -24,12 +24,15 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return scan(spark, f"{sf}/pages.parquet", columns=["page_id", "url", "html"])
 
 
-def partition_for_parsing(df: DataFrame, tasks: int) -> DataFrame:
-    """Spread pages evenly before a parser pass.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores before per-row work that costs far more than moving them.
 
-    Pages go round robin, not by host: one host may own a third of the corpus.
+    A table that already comes in enough splits is left alone, so large inputs
+    pay no shuffle.  The key must be unique per row (a page or document id, not
+    a host), so that no source can fill one task.
     """
-    return df.repartition(tasks)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
