@@ -64,6 +64,11 @@ def join_words(*cols: Column) -> Column:
     return F.concat_ws(" ", *[blank(c) for c in cols])
 
 
+def let(value: Column, body) -> Column:
+    """Name a value used several times in one expression: it is worked out once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(c: Column, words: Iterable[str]) -> Column:
     hit = F.lit(False)
     for w in words:
@@ -293,33 +298,36 @@ def core_name_in(work: Column, variant: Column, fallback: Column) -> Column:
 
 def sku_of(*cols: Column) -> Column:
     """First column that carries a labelled or bare stock code."""
-    found = []
-    for c in cols:
-        value = ws(text(c))
-        found += [blank(F.upper(get(value, p, 1))) for p in K.SKU_PATTERNS]
-        found.append(F.when(has(value, K.BARE_SKU_PATTERN), F.upper(value)))
-    return F.coalesce(*found, F.lit(""))
 
+    def code(value):
+        labelled = [blank(F.upper(get(value, p, 1))) for p in K.SKU_PATTERNS]
+        return F.coalesce(*labelled, F.when(has(value, K.BARE_SKU_PATTERN), F.upper(value)))
 
-def category_of(*cols: Column) -> Column:
-    combined = F.lower(F.concat_ws(" ", *[text(c) for c in cols]))
+    return F.coalesce(*[let(ws(text(c)), code) for c in cols], F.lit(""))
+
+
+def _category_in(combined: Column) -> Column:
     out = F.lit(K.DEFAULT_CATEGORY)
     for name, words in reversed(K.CATEGORY_RULES):
         out = F.when(any_of(combined, words), F.lit(name)).otherwise(out)
     return out
 
 
+def category_of(*cols: Column) -> Column:
+    return let(F.lower(F.concat_ws(" ", *[text(c) for c in cols])), _category_in)
+
+
 def product_type_of(value: Column, fallback: Column) -> Column:
-    lowered = F.lower(value)
-    out = F.lit("")
-    combined = F.lower(F.concat_ws(" ", value, fallback))
-    for phrase, name in reversed(K.CATEGORY_SYNONYMS):
-        out = F.when(combined.contains(phrase), F.lit(name)).otherwise(out)
-    detected = category_of(value, fallback)
-    out = F.when(detected != K.DEFAULT_CATEGORY, detected).otherwise(out)
-    for phrase, name in reversed(K.CATEGORY_SYNONYMS):
-        out = F.when(lowered == phrase, F.lit(name)).otherwise(out)
-    return out
+    exact = F.create_map(*[F.lit(x) for pair in K.CATEGORY_SYNONYMS for x in pair])
+
+    def loose(combined):
+        out = F.lit("")
+        for phrase, name in reversed(K.CATEGORY_SYNONYMS):
+            out = F.when(combined.contains(phrase), F.lit(name)).otherwise(out)
+        detected = _category_in(combined)
+        return F.when(detected != K.DEFAULT_CATEGORY, detected).otherwise(out)
+
+    return F.coalesce(F.try_element_at(exact, F.lower(value)), let(F.lower(F.concat_ws(" ", value, fallback)), loose))
 
 
 # ------------------------------------------------------------------ brands
@@ -339,43 +347,61 @@ def brand_text(c: Column) -> Column:
 
 def host_brand(c: Column) -> Column:
     """Words of a host name that are not noise; empty when the text is no host."""
-    x = F.regexp_replace(F.lower(text(c)), r"\Ahttps?://", "")
-    x = F.split(x, "[/?#]", 2).getItem(0)
-    parts = F.split(F.regexp_replace(x, r"\Awww\.", ""), r"[._-]")
-    kept = F.filter(parts, lambda p: (p != "") & ~p.isin(K.HOST_NOISE_WORDS))
-    return F.when(x.contains("."), F.array_join(kept, " ")).otherwise(F.lit(""))
+
+    def words(x):
+        parts = F.split(F.regexp_replace(x, r"\Awww\.", ""), r"[._-]")
+        kept = F.filter(parts, lambda p: (p != "") & ~p.isin(K.HOST_NOISE_WORDS))
+        return F.when(x.contains("."), F.array_join(kept, " ")).otherwise(F.lit(""))
+
+    return let(F.split(F.regexp_replace(F.lower(text(c)), r"\Ahttps?://", ""), "[/?#]", 2).getItem(0), words)
 
 
 def explicit_brand(c: Column) -> Column:
-    value = ws(text(c))
-    found = []
-    for p in K.EXPLICIT_BRAND_PATTERNS:
-        brand = cut(brand_text(get(value, p, 1)), K.BRAND_CUT)
-        found.append(F.when((brand != "") & (F.size(F.split(brand, " ")) <= 6), format_brand(brand)))
-    return F.coalesce(*found, F.lit(""))
+    def usable(brand):
+        return F.when((brand != "") & (F.size(F.split(brand, " ")) <= 6), format_brand(brand))
+
+    def found(value):
+        return F.coalesce(*[let(cut(brand_text(get(value, p, 1)), K.BRAND_CUT), usable) for p in K.EXPLICIT_BRAND_PATTERNS], F.lit(""))
+
+    return let(ws(text(c)), found)
 
 
 def leading_brand(c: Column) -> Column:
     x = brand_text(c)
     for word in ("buy", "shop", "online"):
         x = sub_all(x, rf"^{word}\s+", "")
-    tokens = F.filter(F.split(x, " "), lambda t: t != "")
-    stop = F.transform(tokens, lambda t: t.rlike(r"\A[0-9]") | F.lower(t).isin(K.BRAND_BOUNDARY_WORDS))
-    first = F.array_position(stop, True)
-    taken = F.least(F.when(first > 0, first - 1).otherwise(F.size(tokens)), F.lit(5)).cast("int")
-    brand = F.array_join(F.slice(tokens, F.lit(1), taken), " ")
-    usable = (taken > 0) & (taken <= 4) & ~F.lower(brand).isin(K.STOP_WORDS) & (F.lower(x) != "linked product")
-    return F.when(usable, format_brand(brand)).otherwise(F.lit(""))
+
+    def named(words):
+        taken = F.size(words)
+        brand = F.array_join(words, " ")
+        return F.when((taken > 0) & (taken <= 4) & ~F.lower(brand).isin(K.STOP_WORDS), format_brand(brand)).otherwise(F.lit(""))
+
+    def leading(tokens):
+        stop = F.transform(tokens, lambda t: t.rlike(r"\A[0-9]") | F.lower(t).isin(K.BRAND_BOUNDARY_WORDS))
+        ahead = let(F.array_position(stop, True), lambda first: F.when(first > 0, first - 1).otherwise(F.size(tokens)))
+        return let(F.slice(tokens, F.lit(1), F.least(ahead, F.lit(5)).cast("int")), named)
+
+    def brand(value):
+        tokens = F.filter(F.split(value, " "), lambda t: t != "")
+        return F.when(F.lower(value) == "linked product", F.lit("")).otherwise(let(tokens, leading))
+
+    return let(x, brand)
 
 
 def detect_brand(*cols: Column) -> Column:
-    found = []
-    for c in cols:
-        found.append(blank(explicit_brand(c)))
-        found.append(F.when(host_brand(c) == "", blank(leading_brand(c))))
-    for c in cols:
-        found.append(blank(format_brand(host_brand(c))))
-    return F.coalesce(*found, F.lit(""))
+    """Explicit brand or leading title words of the texts in order, else a host name."""
+    hosts = F.array(*[host_brand(c) for c in cols])
+
+    def pick(h):
+        found = []
+        for i, c in enumerate(cols):
+            found.append(blank(explicit_brand(c)))
+            found.append(F.when(F.get(h, F.lit(i)) == "", blank(leading_brand(c))))
+        named = F.filter(h, lambda x: x != "")
+        found.append(F.when(F.size(named) > 0, format_brand(F.get(named, F.lit(0)))))
+        return F.coalesce(*found, F.lit(""))
+
+    return let(hosts, pick)
 
 
 def slug_title(c: Column) -> Column:

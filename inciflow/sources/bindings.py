@@ -162,7 +162,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-KEYS = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey", "conversations": "conv_id"}
+KEYS = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey"}
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
