@@ -220,18 +220,23 @@ LINK_BONUS = {
 }
 
 
-def rank_links(links: DataFrame, kind: str, k: int, group: str = "page_id") -> DataFrame:
-    """Top k distinct links of each group by match score and path bonuses.
+def rank_links(links: DataFrame, kinds: list[str], k: int, group: str = "page_id") -> DataFrame:
+    """Top k distinct links of each group and search kind by match score and path bonuses.
 
-    links: group, pos, url, text, final_score.
+    links: group, pos, url, text, final_score.  The match score is worked out
+    once and shared by the kinds.
     """
-    score = F.col("final_score")
     both = F.concat_ws(" ", "url", "text")
-    for pattern, where, points in LINK_BONUS[kind]:
-        score = score + F.when((both if where == "both" else F.col("url")).rlike("(?i)" + pattern), points).otherwise(0)
-    df = links.withColumn("rank_score", F.greatest(F.lit(0), score).cast("bigint"))
-    best = first_per_key(df, [group, "url"], [F.col("rank_score").desc(), F.col("pos")])
-    return top_per_group(best, [group], [F.col("rank_score").desc(), F.col("pos")], k)
+
+    def ranked(kind):
+        score = F.col("final_score")
+        for pattern, where, points in LINK_BONUS[kind]:
+            score = score + F.when((both if where == "both" else F.col("url")).rlike("(?i)" + pattern), points).otherwise(0)
+        return F.struct(F.lit(kind).alias("kind"), F.greatest(F.lit(0), score).cast("bigint").alias("rank_score"))
+
+    df = links.withColumn("_r", F.explode(F.array(*[ranked(kind) for kind in kinds]))).select("*", "_r.kind", "_r.rank_score").drop("_r")
+    order = [F.col("rank_score").desc(), F.col("pos")]
+    return top_per_group(first_per_key(df, [group, "kind", "url"], order), [group, "kind"], order, k)
 
 
 def cap_hits(hits: DataFrame, per_domain: int, total: int, group: str = "request_id") -> DataFrame:

@@ -618,11 +618,7 @@ def c20_rank_links(spark, sf):
         }
     )
     scored = LK.match_products(pairs).select("page_id", "pos", "url", "text", "final_score")
-    out = None
-    for kind in LK.LINK_BONUS:
-        ranked = LK.rank_links(scored, kind, 2).select("page_id", F.lit(kind).alias("kind"), "pos", "url", "rank_score", "rank")
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    return LK.rank_links(scored, list(LK.LINK_BONUS), 2).select("page_id", "kind", "pos", "url", "rank_score", "rank")
 
 
 _HITS = "SELECT page_id % 40 AS request_id, page_id * 100 + pos AS ord, CASE WHEN page_id % 2 = 0 THEN 'shop.example.com' ELSE 'm.example.com' END AS domain, url FROM outl"
