@@ -74,6 +74,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that the mix takes, each as often as it is taken (begun repeats count).
+
+    Rows that share a doc_id are taken as often as the one that is taken most.
+    """
+    taken = mix(docs, **options).filter("taken > 0")
+    copies = taken.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_n"))
+    copies = copies.withColumnRenamed("doc_id", "_d")
+    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")))
+    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+
 #: The same in DuckDB, over any `documents`.
 MIX_SQL = """
 WITH sized AS (

@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inciflow.llm import line_dedup, mixing, sharding
+from inciflow.llm import line_dedup, mixing, packing, quality, sharding, simhash
+
+
+#: Vocabulary that op2_pack and the pipeline use.
+PACK_VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary(name: str = PACK_VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.balanced_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -28,8 +42,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected documents with their grades; `quality.grade_documents` has those of all."""
+    out = quality.select_good(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "expected_grade", "tail_probability")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_shard": op3_shard, "op4_mix": op4_mix, "op8_line_dedup": op8_line_dedup}
+    return {f.__name__: f for f in (op2_pack, op3_shard, op4_mix, op8_line_dedup, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
