@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inciflow.llm import line_dedup, mixing, packing, quality, sharding, simhash
+from inciflow.llm import line_dedup, mixing, packing, quality, sharding, simhash, warc
 
 
 #: Vocabulary that op2_pack and the pipeline use.
@@ -37,6 +37,11 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -54,8 +59,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op3_shard, op4_mix, op8_line_dedup, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op2_pack, op3_shard, op4_mix, op5_warc, op8_line_dedup, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": mixing.MIX_SQL, "op8_line_dedup": line_dedup.LINES_SQL}
+    return {"op4_mix": mixing.MIX_SQL, "op5_warc": warc.PAGES_SQL, "op8_line_dedup": line_dedup.LINES_SQL}
