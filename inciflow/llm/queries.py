@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inciflow.llm import line_dedup, mixing, packing, quality, sharding, simhash, warc
+from inciflow.llm import line_dedup, lm_scoring, mixing, packing, quality, sharding, simhash, warc
 
 
 #: Vocabulary that op2_pack and the pipeline use.
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -59,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op3_shard, op4_mix, op5_warc, op8_line_dedup, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_pack, op3_shard, op4_mix, op5_warc, op8_line_dedup, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
