@@ -51,7 +51,9 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, limi
     """
     values = [c for c in right.columns if c not in keys]
     heavy = right.filter(F.col(weight) > limit).select(*keys, F.struct(*values).alias("_h"))
-    light = right.filter(F.col(weight) <= limit).select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_l"))
+    # always 0, but no literal: with one, the optimizer would take the salt out of the join keys
+    zero = F.pmod(F.col(weight), F.lit(1)).cast("int")
+    light = right.filter(F.col(weight) <= limit).select(*keys, zero.alias("_salt"), F.struct(*values).alias("_l"))
     met = left.join(F.broadcast(heavy), keys, "left")
     met = met.withColumn("_salt", F.when(F.col("_h").isNotNull(), 1 + F.pmod(F.xxhash64(*spread), F.lit(65536)).cast("int")).otherwise(0))
     out = met.join(light, [*keys, "_salt"], "left")
