@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inciflow.llm import ann, line_dedup, lm_scoring, mixing, packing, quality, sharding, simhash, warc
+from inciflow.llm import ann, fingerprint, line_dedup, lm_scoring, mixing, packing, quality, sharding, simhash, warc
 
 
 #: Vocabulary that op2_pack and the pipeline use.
@@ -50,6 +50,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,7 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_pack, op3_shard, op4_mix, op5_warc, op6_ann, op8_line_dedup, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_pack, op3_shard, op4_mix, op5_warc, op6_ann, op7_fingerprint, op8_line_dedup, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
