@@ -9,50 +9,80 @@ tokens into windows that are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 2
-#: Words whose ids a task remembers at most; then it starts anew.
-CACHE_WORDS = 400_000
+#: Words, and pieces of words, whose ids a worker remembers at most; then it starts anew.
+CACHE_WORDS, CACHE_PIECES = 400_000, 800_000
 SPECIAL = b"<|"
+#: Words of printable Latin-1, on which lower case and Unicode classes are the same everywhere.
+PLAIN = regex.compile(r"[!-~\u00a1-\u00ff]+")
 
 
-class WordEncoder:
-    """Ids of UTF-8 texts, word by word: this tokenizer drops white space and no merge crosses it.
+class WordEncoder(dict):
+    """UTF-8 word -> its ids as little-endian bytes, word by word: the tokenizer drops white space and no merge crosses it.
 
-    Words end at ASCII white space only (as `bytes.split` has it); other white space stays in the word.
+    Words end at ASCII white space only (as `bytes.split` has it); other white space stays in the word. Plain words
+    are cut by the tokenizer's own pattern, so that "word", "word," and "word." share the ids of one piece. A-Z are
+    put in lower case first, as the tokenizer does with all letters.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4") for x in found]
-
-    def batch(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        split = [None if SPECIAL in t else t.split() for t in texts]
-        new = list({w for words in split if words for w in words if w not in self.known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update(zip(some, (x.tobytes() for x in self.whole(some)), strict=True))
-        for text, words in zip(texts, split, strict=True):
-            if words is None:  # a special token may stand in the text
-                yield self.whole([text])[0]
-            else:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        # byte-level models write printable bytes as themselves, all others as characters from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        text = word.decode()
+        if PLAIN.fullmatch(text):
+            found = b"".join([self.pieces.get(p) or self._piece(p) for p in self.pattern.findall(text.lower())])
+        else:
+            found = self.whole(word)
+        self[word] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        found = np.array([x.id for x in self.model.tokenize(letters)], dtype="<u4").tobytes()
+        self.pieces[piece] = found
+        return found
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def ids(self, text: bytes) -> np.ndarray:
+        # a special token may stand in a text; then it is encoded as it is
+        raw = self.whole(text) if SPECIAL in text else b"".join(map(self.__getitem__, text.lower().split()))
+        return np.frombuffer(raw, dtype="<u4")
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per worker: what it remembers serves the worker's later tasks too."""
+    return WordEncoder(path)
 
 
 class SumOfSquares:
@@ -131,8 +161,8 @@ def pack_stream(batches: Iterator[tuple[list, list[bytes]]], encoder, size: int,
         return out
 
     for doc_ids, texts in batches:
-        for doc_id, ids in zip(doc_ids, encoder.batch(texts), strict=True):
-            ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+        for doc_id, text in zip(doc_ids, texts, strict=True):
+            ids = np.append(encoder.ids(text), np.array([END_ID], dtype="<u4"))
             tag, whole = (doc_id, len(ids)), len(ids) // size * size
             for at in range(0, whole, size):
                 emit([(tag, at, ids[at : at + size])])
@@ -155,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
 
         def columns():
             for batch in batches:
