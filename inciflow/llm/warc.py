@@ -52,7 +52,7 @@ def end_of_directory(read_at, size: int) -> tuple[int, int, int]:
     """(number of entries, bytes, offset) of the central directory."""
     tail_at = max(0, size - 22 - ALL_ONES_16)
     tail = read_at(tail_at, size - tail_at)
-    at = tail.rfind(END)
+    at = tail.rfind(END, 0, max(0, len(tail) - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(END, 0, at)  # the mark can stand in a comment
     if at < 0:
