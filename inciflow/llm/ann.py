@@ -23,8 +23,8 @@ from inciflow.llm.common import number_rows, stored
 CURVES, AXES, BITS = 4, 8, 6
 #: Rows of a block of an ordering, and queries that meet it at once.
 BLOCK, QUERY_CHUNK = 4096, 4096
-#: Queries that the window is measured on.
-SAMPLE_QUERIES = 200
+#: Queries that the window is measured on, and places on either side that it has at least (more than copies of a vector).
+SAMPLE_QUERIES, LEAST_WIDTH = 200, 256
 ROW = "uid long, vec_id long, v array<float>"
 
 
@@ -227,7 +227,7 @@ def window_width(both: DataFrame, placed: DataFrame, dim: int, k: int, recall: f
     """The least window that finds `recall` of the true neighbours of the sampled queries on any curve."""
     sample = both.filter("query").orderBy(F.xxhash64("vec_id"), "uid").limit(SAMPLE_QUERIES).collect()
     if not sample:
-        return 0
+        return LEAST_WIDTH
     true = brute_force(sample, both.filter("NOT query"), dim, k).select("query_uid", "uid")
     places = placed.select("curve", "query", "uid", "pos")
     q = places.filter("query").select("curve", F.col("uid").alias("query_uid"), F.col("pos").alias("query_pos"))
@@ -237,4 +237,4 @@ def window_width(both: DataFrame, placed: DataFrame, dim: int, k: int, recall: f
     met = r.join(F.broadcast(met), ["curve", "uid"])
     apart = met.groupBy("query_uid", "uid").agg(F.min(F.abs(F.col("pos") - F.col("query_pos"))).alias("d")).select("d").collect()
     apart = sorted(r["d"] for r in apart)
-    return int(apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) if apart else 0
+    return max(LEAST_WIDTH, int(apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) if apart else 0)
