@@ -102,19 +102,25 @@ def choose_brand(df: DataFrame, sources: list[str], fallback: list[str], out: st
 
 
 # ------------------------------------------------------------------ JSON-LD
-def _nodes(v: Column) -> Column:
-    """Arrays and @graph unrolled; three levels cover what pages nest."""
-    out = F.array(v)
-    for _ in range(3):
-        out = F.flatten(F.transform(out, lambda n: F.coalesce(F.try_variant_get(n, "$", "array<variant>"), F.array(n))))
-        out = F.flatten(F.transform(out, lambda n: F.coalesce(F.try_variant_get(n, "$['@graph']", "array<variant>"), F.array(n))))
-    return out
+def _nodes(v: Column, depth: Column) -> Column:
+    """Arrays and @graph unrolled, `depth` times at most: the document's number of brackets bounds its nesting."""
+
+    def unrolled(nodes: Column, _: Column) -> Column:
+        out = F.flatten(F.transform(nodes, lambda n: F.coalesce(F.try_variant_get(n, "$", "array<variant>"), F.array(n))))
+        return F.flatten(F.transform(out, lambda n: F.coalesce(F.try_variant_get(n, "$['@graph']", "array<variant>"), F.array(n))))
+
+    def step(nodes: Column, i: Column) -> Column:
+        more = F.exists(nodes, lambda n: F.coalesce(F.try_variant_get(n, "$", "array<variant>"), F.try_variant_get(n, "$['@graph']", "array<variant>")).isNotNull())
+        return F.when(more, unrolled(nodes, i)).otherwise(nodes)
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), depth)), F.array(v), step)
 
 
 def jsonld_nodes(pages: DataFrame) -> DataFrame:
     df = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LD_SCRIPT), F.lit(1))).alias("script", "body"))
-    df = df.select("page_id", "script", F.try_parse_json("body").alias("v")).where("v IS NOT NULL")
-    return df.select("page_id", "script", F.posexplode(_nodes(F.col("v"))).alias("node", "n"))
+    brackets = F.char_length("body") - F.char_length(F.replace("body", F.lit("["), F.lit("")))
+    df = df.select("page_id", "script", brackets.alias("depth"), F.try_parse_json("body").alias("v")).where("v IS NOT NULL")
+    return df.select("page_id", "script", F.posexplode(_nodes(F.col("v"), F.col("depth"))).alias("node", "n"))
 
 
 def _field(name: str) -> Column:

@@ -25,9 +25,12 @@ def rank_in_group(
     cell = [*group, *coarse]
     sizes = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy(*group).orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    offsets = sizes.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cell)], F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy(*fine)) - 1
-    return df.join(offsets, cell).withColumn(out, (F.col("_ahead") + inside).cast("int")).drop("_ahead")
+    # nulls are cells of their own
+    same = [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(cell)]
+    ranked = df.withColumn("_in", inside).join(offsets, same)
+    return ranked.withColumn(out, (F.col("_ahead") + F.col("_in")).cast("int")).drop("_ahead", "_in", *[f"_c{i}" for i in range(len(cell))])
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:

@@ -317,12 +317,12 @@ _CAND_SQL = (
 def page_candidates(spark, sf):
     """Union of the extractors of a page, deduplicated inside each family."""
     pages = B.product_pages(spark, sf)
-    dom = M.dom_candidates(pages).select("page_id", F.lit("dom").alias("family"), F.col("ord").alias("ord"), "method", "label", "raw_text")
+    dom = M.dom_candidates(pages).select("page_id", F.lit("dom").alias("family"), F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.col("ord").cast("long").alias("at")).alias("ord"), "method", "label", "raw_text")
     json = P.json_ingredient_values(M.json_paths(P.state_blocks(pages)))
     method = F.when(F.col("block") == "embedded-json", "embedded-product-json").otherwise(F.lower("block"))
-    json = json.select("page_id", F.lit("structured").alias("family"), (F.col("block_ord") * 10000 + F.col("ord")).alias("ord"), method.alias("method"), F.col("block").alias("label"), F.col("value").alias("raw_text"))
-    micro = P.microdata(pages).select("page_id", F.lit("structured").alias("family"), (F.col("ord") + 100000000).alias("ord"), F.lit("microdata").alias("method"), F.lit("microdata").alias("label"), F.col("value").alias("raw_text"))
-    ld = P.jsonld_products(pages).where("ingredients <> ''").select("page_id", F.lit("jsonld").alias("family"), F.lit(0).alias("ord"), F.lit("json-ld").alias("method"), F.lit("json-ld").alias("label"), F.col("ingredients").alias("raw_text"))
+    json = json.select("page_id", F.lit("structured").alias("family"), F.struct(F.lit(0).alias("kind"), F.col("block_ord").cast("long").alias("block"), F.col("ord").cast("long").alias("at")).alias("ord"), method.alias("method"), F.col("block").alias("label"), F.col("value").alias("raw_text"))
+    micro = P.microdata(pages).select("page_id", F.lit("structured").alias("family"), F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), F.col("ord").cast("long").alias("at")).alias("ord"), F.lit("microdata").alias("method"), F.lit("microdata").alias("label"), F.col("value").alias("raw_text"))
+    ld = P.jsonld_products(pages).where("ingredients <> ''").select("page_id", F.lit("jsonld").alias("family"), F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("at")).alias("ord"), F.lit("json-ld").alias("method"), F.lit("json-ld").alias("label"), F.col("ingredients").alias("raw_text"))
     return P.dedupe_candidates(dom.unionByName(json).unionByName(micro).unionByName(ld))
 
 
@@ -404,13 +404,13 @@ _SIG = "ingredients?|inci|composition|product details|description"
     f"OR (NOT regexp_matches(html, '{_SIG}', 'i') AND NOT regexp_matches(html, 'og:title|twitter:title|<title|application/ld\\+json|__next_data__|__initial_state__', 'i') AND length(html) < 2200) AS javascript_driven, "
     f"{D.any_of('lower(url)', K.LISTING_URL_MARKERS)} OR {D.any_of('lower(' + rx('html', _TITLE_RX, 1, 'i') + ')', K.LISTING_TITLE_MARKERS)} AS listing_page, "
     f"{D.has('lower(' + rx('html', _TITLE_RX, 1, 'i') + ') || chr(10) || left(' + D.visible_text('html') + ', 4000)', K.ANTI_BOT_PATTERN)} AS anti_bot FROM "
-    "(SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '&q=x' ELSE url END AS url, CASE page_id % 4 WHEN 0 THEN html || ' Security Check' WHEN 1 THEN left(html, 40) ELSE html END AS html FROM pages)",
+    "(SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '&q=x' ELSE url END AS url, CASE page_id % 4 WHEN 0 THEN html || ' Security Check' ELSE html END AS html FROM pages)",
 )
 def c16_classify_pages(spark, sf):
     df = B.texts(spark, sf, "pages").withColumns(
         {
             "url": F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("&q=x"))).otherwise(F.col("url")),
-            "html": F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit(" Security Check"))).when(F.col("page_id") % 4 == 1, F.expr("left(html, 40)")).otherwise(F.col("html")),
+            "html": F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit(" Security Check"))).otherwise(F.col("html")),
         }
     )
     return P.classify_pages(df).select("page_id", "javascript_driven", "listing_page", "anti_bot")
@@ -815,12 +815,13 @@ _EK = D.evidence_key
         "len(sup) >= least(8, len(terms)) AND len(sup) * 100 >= greatest(len(terms), 1) * 85 AS kept FROM "
         f"(SELECT doc_id, terms, list_filter(terms, lambda t: length({_EK('t')}) >= 3 AND contains(tx, ' ' || {_EK('t')} || ' ')) AS sup FROM src)",
         src=f"SELECT doc_id, ' ' || {_EK('d.text')} || ' ' AS tx, CASE WHEN doc_id % 2 = 0 THEN string_split_regex(d.text, '[.\\n]+') ELSE list_concat(string_split_regex(d.text, '[,]+'), string_split_regex(b.text, '[.]+')) END AS terms "
-        "FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40",
+        "FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)",
     ),
 )
 def c28_grounded_terms(spark, sf):
     docs, bench = B.texts(spark, sf, "documents"), B.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b"))
-    df = docs.join(bench, F.col("item_id") == F.col("doc_id") % 40).withColumn(
+    items = F.broadcast(bench.agg(F.count(F.lit(1)).alias("items")))  # one row
+    df = docs.join(items).join(bench, F.col("item_id") == F.col("doc_id") % F.col("items")).withColumn(
         "terms", F.when(F.col("doc_id") % 2 == 0, F.split("text", r"[.\n]+")).otherwise(F.concat(F.split("text", "[,]+"), F.split("b", "[.]+")))
     )
     out = P.grounded_terms(df, "text", "terms")

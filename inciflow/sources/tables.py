@@ -25,14 +25,11 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores before per-row work that costs far more than moving them.
+    """Rows dealt by a key before per-row work that costs far more than moving them.
 
-    A table that already comes in enough splits is left alone, so large inputs
-    pay no shuffle.  The key must be unique per row (a page or document id, not
-    a host), so that no source can fill one task.
+    The key must be unique per row (a page or document id, not a host), so that no source can fill one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.isStreaming else df.repartition(key)
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:

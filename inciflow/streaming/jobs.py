@@ -6,7 +6,6 @@ it on micro-batches or with keyed state, so both give the same rows.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,33 +23,39 @@ from ..operators.ranking import first_per_key
 
 # ------------------------------------------------------------------ running
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder of its own under the cluster's shared checkpoint folder.
+    """A folder of its own under the folder that driver and executors share.
 
-    Only without that setting, as in tests, a local temporary folder is used.
+    That is `spark.checkpoint.dir`; without it a local session takes its warehouse. Elsewhere it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        run = spark.range(1).select(F.expr("uuid()")).first()[0]
-        return f"{base.rstrip('/')}/{name}-{run}"
-    return tempfile.mkdtemp(prefix=f"run-{name}-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/streams"
+    run = spark.range(1).select(F.expr("uuid()")).first()[0]
+    return f"{base.rstrip('/')}/{name}-{run}"
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append", path: str | None = None, each: Callable | None = None, limit: int = 600) -> None:
-    """Process everything there is and stop; the checkpoint makes a restart safe."""
+def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append", path: str | None = None, each: Callable | None = None, limit: int | None = None) -> None:
+    """Process everything there is and stop; the checkpoint makes a restart safe. `limit`: seconds, if it may not take longer."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", path).start()
     try:
-        if not query.awaitTermination(limit):
+        if limit is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(limit):
             raise TimeoutError("stream did not finish in time")
     finally:
         query.stop()
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that may not exist yet."""
+    """A table that may not exist yet; one that can't be read fails."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -188,9 +193,10 @@ def ttl_hits(events: DataFrame, ttl_hours: int = K.RESULT_TTL_HOURS) -> DataFram
     write = F.when(F.col("kind") == "write", F.col("ts"))
     hours = df.groupBy("key", "_h").agg(F.max(write).alias("_w"))
     before = Window.partitionBy("key").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    carried = hours.select("key", "_h", F.max("_w").over(before).alias("_carried"))
+    carried = hours.select(F.col("key").alias("_key"), F.col("_h").alias("_hour"), F.max("_w").over(before).alias("_carried"))
     inside = Window.partitionBy("key", "_h").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_in", F.max(write).over(inside)).join(carried, ["key", "_h"])
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("_h").eqNullSafe(F.col("_hour"))
+    df = df.withColumn("_in", F.max(write).over(inside)).join(carried, same)
     last = F.coalesce("_in", "_carried")
     alive = F.coalesce(last + F.make_interval(hours=F.lit(ttl_hours)) >= F.col("ts"), F.lit(False))
     return df.where("kind = 'read'").select("key", "ord", last.alias("written_at"), alive.cast("boolean").alias("hit"))
