@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from .ranking import top_per_group
+from .ranking import first_per_key, top_per_group
 
 UNIT = 100_000
 
@@ -289,6 +289,13 @@ def score_lines(rows: DataFrame) -> DataFrame:
     return out.withColumn("fit_label", label)
 
 
+def asked_contexts(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Each request once, with the scoring view of its profile; a profile that isn't stored has no wishes."""
+    asked = requests.distinct()
+    known = asked.select("profile_id").distinct().join(profiles, "profile_id", "left")
+    return asked.join(profile_context(known), "profile_id")
+
+
 def scored_rows(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame) -> DataFrame:
     """Resolved lines (list_id, position, display_name, ingredient_id) scored for each request.
 
@@ -301,8 +308,7 @@ def scored_rows(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles:
         "ingredient_id", "risk_level", "irritation", "comedogenic", "display_purpose", "purpose", "simple_explanation",
         "functions", "helps", *extra, *SIGNAL_COLUMNS,
     )
-    asked = requests.join(profile_context(profiles), "profile_id")
-    rows = position_weights(lines, "display_name").join(asked, "list_id")
+    rows = position_weights(lines, "display_name").join(asked_contexts(requests, profiles), "list_id")
     return score_lines(rows.join(sig, "ingredient_id", "left"))
 
 
@@ -426,7 +432,7 @@ def score_band(c: Column) -> Column:
 
 def quick_rows(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame) -> DataFrame:
     """Lines matched by exact lower-case name, with losses and messages per request."""
-    first = dim.select(
+    first = first_per_key(dim, ["name"], [F.col("ingredient_id")]).select(
         F.col("name").alias("raw_key"), F.col("ingredient_id").alias("q_id"), "risk_level", "irritation", "comedogenic",
         F.col("tags").alias("q_tags"), F.col("suitable_skin_types").alias("q_suit"), F.col("avoid_skin_types").alias("q_avoid"),
     )
@@ -444,7 +450,7 @@ def quick_rows(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles:
         lines.withColumn("raw_key", T.strip(F.lower("raw_name")))
         .where("raw_key <> ''")
         .join(first, "raw_key", "left")
-        .join(requests.join(prof, "profile_id"), "list_id")
+        .join(requests.distinct().join(prof, "profile_id"), "list_id")
     )
     known, skin, tags, name = F.col("q_id").isNotNull(), F.col("skin_type"), F.col("q_tags"), F.col("raw_key")
     allergic = F.exists(

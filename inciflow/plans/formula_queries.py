@@ -375,15 +375,17 @@ def f14_breakdown(spark, sf):
 
 
 def analyze(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame, min_count: int = K.MIN_LIST_SIZE, fuzzy: bool = False) -> DataFrame:
-    """One row per request: gate, scores, verdict, confidence, strengths and weaknesses.
+    """One row per distinct request: gate, scores, verdict, confidence, strengths and weaknesses.
 
-    Lists are typed in by hand, so brand and site are both `Manual Input`.
+    Requests for lists without lines are answered too (not verified). Lists are typed in by hand, so brand and site are both `Manual Input`.
     Verification counters and score sums come out of the same aggregate.
     """
     resolved = R.resolve_names(lines, dim, fuzzy)
     scored = S.scored_rows(resolved.withColumn("display_name", F.col("canonical_name")), requests, dim, profiles)
     sums = scored.groupBy(*S.PAIR).agg(*V.counter_aggregates(), *S.score_aggregates())
-    checked = V.verify_lists(sums, min_count)
+    nothing = {n: F.coalesce(F.col(n), F.lit(0).cast(t)) for n, t in sums.dtypes if n not in S.PAIR}
+    asked = requests.select(*S.PAIR).distinct().join(sums, S.PAIR, "left").withColumns(nothing)
+    checked = V.verify_lists(asked, min_count)
     manual = F.lit("Manual Input")
     confidence, _ = V.analysis_confidence(F.lit("manual-input"), manual, manual)
     safety, suit = S.score_columns()
@@ -414,23 +416,23 @@ def analyze(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: Dat
 
 _MC, _MN = Q.analysis_confidence("'manual-input'", "'Manual Input'", "'Manual Input'")
 ANALYZE = dict(
-    CNT, ver=Q.verified(ORDER_MIN), prof=B.PROFILE_SQL, allreq=B.REQUESTS_SQL,
+    CNT, ver=Q.verified(ORDER_MIN), prof=B.PROFILE_SQL, allreq=B.OPEN_REQUESTS_SQL,
     req="SELECT a.* FROM allreq a JOIN ver v ON v.list_id = a.list_id AND v.verified",
     sig=Q.signals(), ctx=Q.context(), scored=Q.scored(), ps=Q.PAIR_SCORES, tops=Q.top_ingredients(),
     packs="SELECT profile_id, list_id, coalesce(string_agg(display_name, ', ' ORDER BY rank) FILTER (WHERE side = 'strength'), '') AS strengths, "
     "coalesce(string_agg(display_name, ', ' ORDER BY rank) FILTER (WHERE side = 'weakness'), '') AS weaknesses FROM tops GROUP BY 1, 2",
 )
 ANALYZE_SQL = (
-    "SELECT a.profile_id, a.list_id, CASE WHEN v.verified THEN 'VERIFIED_INGREDIENTS_FOUND' ELSE 'NO_VERIFIED_INGREDIENTS' END AS status, v.rule, safety_score, suitability_score, "
+    "SELECT a.profile_id, a.list_id, CASE WHEN v.verified THEN 'VERIFIED_INGREDIENTS_FOUND' ELSE 'NO_VERIFIED_INGREDIENTS' END AS status, coalesce(v.rule, 'MIN_INGREDIENT_COUNT') AS rule, safety_score, suitability_score, "
     f"{Q.OVERALL} AS overall_score, CASE WHEN v.verified THEN conf ELSE 0 END AS confidence_score, CASE WHEN v.verified THEN {Q.VERDICT} END AS verdict, "
     "coalesce(strengths, '') AS strengths, coalesce(weaknesses, '') AS weaknesses FROM allreq a "
-    f"JOIN (SELECT *, {_MC} AS conf FROM ver) v ON v.list_id = a.list_id LEFT JOIN ps ON ps.profile_id = a.profile_id AND ps.list_id = a.list_id "
+    f"LEFT JOIN (SELECT *, {_MC} AS conf FROM ver) v ON v.list_id = a.list_id LEFT JOIN ps ON ps.profile_id = a.profile_id AND ps.list_id = a.list_id "
     "LEFT JOIN packs k ON k.profile_id = a.profile_id AND k.list_id = a.list_id"
 )
 
 
 def order_analysis(spark, sf):
-    return analyze(B.formula_lines(spark, sf), B.requests(spark, sf), B.dimension(spark, sf), B.profiles(spark, sf), ORDER_MIN)
+    return analyze(B.formula_lines(spark, sf), B.open_requests(spark, sf), B.dimension(spark, sf), B.profiles(spark, sf), ORDER_MIN)
 
 
 query("f15_analyze", ctes(ANALYZE_SQL, **ANALYZE))(order_analysis)

@@ -222,6 +222,13 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def open_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests as above; a customer without orders asks about a list that has no lines yet."""
+    asked = requests(spark, sf)
+    new = table(spark, sf, "customer").select(F.col("c_custkey").alias("profile_id"), (-F.col("c_custkey")).alias("list_id"))
+    return asked.unionByName(new.join(asked.select("profile_id"), "profile_id", "left_anti"))
+
+
 def listings(spark: SparkSession, sf: str) -> DataFrame:
     """Products with a composed title and a noisy copy of it."""
     part = texts(spark, sf, "part")
@@ -253,6 +260,7 @@ LONG_LINES_SQL = (
     "FROM lineitem JOIN part ON p_partkey = l_partkey"
 )
 REQUESTS_SQL = "SELECT o_custkey AS profile_id, o_orderkey AS list_id FROM orders"
+OPEN_REQUESTS_SQL = REQUESTS_SQL + " UNION ALL SELECT c_custkey, -c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
 LISTINGS_SQL = (
     "SELECT *, " + NOISY_TITLE + " AS noisy FROM (SELECT *, " + LISTING_TITLE + " AS title FROM part)"
 )

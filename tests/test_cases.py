@@ -220,3 +220,42 @@ def test_fingerprint_is_stable(spark):
     out = ST.fingerprint(ST.enrich_identity(spark.createDataFrame(rows, cols))).collect()
     assert len({(r["brand"], r["category"], r["size"], r["variant"]) for r in out}) == 1
     assert out[0]["size"] == "100ml" and all(len(r["fingerprint"]) == 64 for r in out)
+
+
+def test_every_request_is_answered_once(spark, starter):
+    """Doubled requests count once; empty lists and unknown profiles are answered."""
+    from inciflow.plans.formula_queries import analyze
+
+    names = ["water", "glycerin", "niacinamide", "panthenol", "xanthan gum", "citric acid", "sodium benzoate", "zinc pca"]
+    lines = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "list_id long, position int, raw_name string")
+    requests = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (9, 1)], "profile_id long, list_id long")
+    profiles = spark.createDataFrame(
+        [(1, "OILY", None, ["ACNE"], None, None, None, None, None)],
+        "profile_id long, skin_type string, skin_sensitivity string, concerns array<string>, goals array<string>, allergies array<string>, avoid_ingredients array<string>, other_allergy string, other_avoid string",
+    )
+    rows = {(r["profile_id"], r["list_id"]): r for r in analyze(lines, requests, starter, profiles).collect()}
+    assert set(rows) == {(1, 1), (1, 2), (9, 1)}
+    once = analyze(lines, requests.distinct(), starter, profiles).collect()
+    assert {(r["profile_id"], r["list_id"]): r for r in once} == rows
+    assert rows[1, 1]["status"] == rows[9, 1]["status"] == "VERIFIED_INGREDIENTS_FOUND"
+    assert rows[1, 2]["status"] == "NO_VERIFIED_INGREDIENTS" and rows[1, 2]["rule"] == "MIN_INGREDIENT_COUNT" and rows[1, 2]["confidence_score"] == 0
+
+
+def test_json_ld_at_any_depth(spark):
+    from inciflow.operators import pages as P
+
+    node = '{"@type": "Product", "name": "Deep"}'
+    body = "[" * 7 + node + "]" * 7
+    html = f'<script type="application/ld+json">{{"@graph": [{{"@graph": {body}}}]}}</script>'
+    rows = P.jsonld_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")).selectExpr("variant_get(n, '$.name', 'string') AS name").collect()
+    assert [r["name"] for r in rows] == ["Deep"]
+
+
+def test_ranks_and_cache_reads_keep_null_rows(spark):
+    from inciflow.operators.ranking import rank_in_group
+    from inciflow.streaming.jobs import ttl_hits
+
+    df = spark.createDataFrame([(1, None, 5), (1, 2, 6), (None, None, 7)], "g int, c int, v int")
+    assert sorted((r["v"], r["position"]) for r in rank_in_group(df, ["g"], ["c"], [F.col("v")]).collect()) == [(5, 0), (6, 1), (7, 0)]
+    events = spark.sql("SELECT CAST(NULL AS BIGINT) AS key, 1L AS ord, CAST(NULL AS TIMESTAMP) AS ts, 'read' AS kind")
+    assert [r["hit"] for r in ttl_hits(events).collect()] == [False]
