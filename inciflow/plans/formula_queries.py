@@ -113,13 +113,13 @@ _MERGE_ARR = lambda f: f"array_to_string(coalesce(s.{f}, f.{f}, []), '|')"
         + f", {_MERGE_TXT('evidence_level')} AS evidence_level FROM stored s FULL OUTER JOIN seed f ON s.key = f.key",
         raw=B.DIM_RAW_SQL,
         stored=f"SELECT *, {D.compact_key('name')} AS key FROM raw WHERE {_STORED}",
-        seed=f"SELECT * REPLACE ('' AS purpose, 'LOW' AS risk_level, ingredient_id + 1000000 AS ingredient_id, list_value('seed ' || name) AS aliases), {D.compact_key('name')} AS key FROM raw WHERE ingredient_id % 3 <> 0",
+        seed=f"SELECT * REPLACE ('' AS purpose, 'LOW' AS risk_level, ingredient_id + 1000000 AS ingredient_id, list_value('seed ' || name) AS aliases), {D.compact_key('name')} AS key FROM raw WHERE ingredient_id % 3 <> 0 OR NOT ({_STORED})",
     ),
 )
 def d5_overlay_dimension(spark, sf):
     raw = B.raw_dim(spark, sf)
     stored = raw.where(_STORED)
-    seed = raw.where("ingredient_id % 3 <> 0").withColumns(
+    seed = raw.where(f"ingredient_id % 3 <> 0 OR NOT ({_STORED})").withColumns(
         {
             "purpose": F.lit(""),
             "risk_level": F.lit("LOW"),

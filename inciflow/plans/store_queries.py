@@ -148,12 +148,12 @@ def a6_learn_ingredients(spark, sf):
 @query(
     "a6_upsert_aliases",
     f"SELECT normalized_alias, arg_min(ingredient_id, o) AS ingredient_id, arg_max(alias, o) AS alias, arg_max(ord, o) AS ord FROM (SELECT *, side * 1000000000 + ord AS o FROM (SELECT {D.compact_key('p_name')} AS normalized_alias, 0 AS side, p_partkey AS ord, p_partkey AS ingredient_id, p_name AS alias FROM part WHERE p_partkey % 3 = 0 "
-    f"UNION ALL SELECT {D.compact_key('upper(p_name)')}, 1, p_partkey, p_partkey + 5000000, upper(p_name) FROM part WHERE p_partkey % 3 = 1)) GROUP BY 1",
+    f"UNION ALL SELECT {D.compact_key('upper(p_name)')}, 1, p_partkey, p_partkey + 5000000, upper(p_name) FROM part WHERE p_partkey % 3 <> 0)) GROUP BY 1",
 )
 def a6_upsert_aliases(spark, sf):
     p = B.table(spark, sf, "part")
     cur = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ingredient_id"), F.col("p_name").alias("alias"), F.col("p_partkey").alias("ord"))
-    new = p.where("p_partkey % 3 = 1").select((F.col("p_partkey") + 5000000).alias("ingredient_id"), F.upper("p_name").alias("alias"), F.col("p_partkey").alias("ord"))
+    new = p.where("p_partkey % 3 <> 0").select((F.col("p_partkey") + 5000000).alias("ingredient_id"), F.upper("p_name").alias("alias"), F.col("p_partkey").alias("ord"))
     return KB.upsert_aliases(cur, new).select("normalized_alias", "ingredient_id", "alias", "ord")
 
 
@@ -162,27 +162,30 @@ _HK = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/
 
 @query(
     "a7_upsert_stores",
-    f"SELECT domain, arg_max(name, o) AS name, max(CASE WHEN o = m THEN ord END) AS ord FROM (SELECT *, max(o) OVER (PARTITION BY domain) AS m FROM (SELECT {_HK} AS domain, 'old' AS name, page_id AS ord, page_id AS o FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT {_HK}, 'label ' || page_id, page_id, page_id + 1000000000 FROM pages WHERE page_id % 3 = 0)) GROUP BY 1",
+    f"SELECT domain, arg_max(name, o) AS name, max(CASE WHEN o = m THEN ord END) AS ord FROM (SELECT *, max(o) OVER (PARTITION BY domain) AS m FROM (SELECT {_HK} AS domain, 'old' AS name, page_id AS ord, page_id AS o FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT {_HK}, 'label ' || page_id, page_id, page_id + 1000000000 FROM pages WHERE page_id % 2 = 1 OR page_id % 3 = 0)) GROUP BY 1",
 )
 def a7_upsert_stores(spark, sf):
     from ..operators.links import host_key
 
     p = B.table(spark, sf, "pages").withColumn("domain", host_key(F.col("url")))
     cur = p.where("page_id % 2 = 0").select("domain", F.lit("old").alias("name"), F.col("page_id").alias("ord"))
-    new = p.where("page_id % 3 = 0").select("domain", F.concat(F.lit("label "), "page_id").alias("name"), F.col("page_id").alias("ord"))
+    new = p.where("page_id % 2 = 1 OR page_id % 3 = 0").select("domain", F.concat(F.lit("label "), "page_id").alias("name"), F.col("page_id").alias("ord"))
     return KB.upsert_stores(cur, new).select("domain", "name", "ord")
 
 
 @query(
     "a9_upsert_profiles",
     "SELECT user_id, coalesce(c.id, u0.id) AS id, coalesce(c.created_at, u0.created_at) AS created_at, coalesce(u.skin_type, c.skin_type) AS skin_type, coalesce(u.updated_at, 'never') AS updated_at FROM (SELECT c_custkey AS user_id, 'c' || c_custkey AS id, '1990-01-01' AS created_at, c_mktsegment AS skin_type FROM customer WHERE c_custkey % 2 = 0) c "
-    f"FULL OUTER JOIN (SELECT o_custkey AS user_id, arg_max(o_orderpriority, v) AS skin_type, arg_max(d, v) AS updated_at FROM (SELECT *, {dday('o_orderdate')} AS d, {dday('o_orderdate')} || o_orderpriority || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS v FROM orders) GROUP BY 1) u USING (user_id) "
-    f"LEFT JOIN (SELECT o_custkey AS user_id, min(id) AS id, min(d) AS created_at FROM (SELECT *, 'o' || o_custkey AS id, {dday('o_orderdate')} AS d FROM orders) GROUP BY 1) u0 USING (user_id)",
+    f"FULL OUTER JOIN (SELECT o_custkey AS user_id, arg_max(o_orderpriority, v) AS skin_type, arg_max(d, v) AS updated_at FROM (SELECT *, {dday('o_orderdate')} AS d, {dday('o_orderdate')} || o_orderpriority || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS v FROM (SELECT o_custkey, o_orderkey, o_orderdate, o_orderpriority FROM orders UNION ALL SELECT c_custkey, 0, TIMESTAMP '1991-01-01', c_mktsegment FROM customer WHERE c_custkey % 2 = 1)) GROUP BY 1) u USING (user_id) "
+    f"LEFT JOIN (SELECT o_custkey AS user_id, min(id) AS id, min(d) AS created_at FROM (SELECT *, 'o' || o_custkey AS id, {dday('o_orderdate')} AS d FROM (SELECT o_custkey, o_orderkey, o_orderdate, o_orderpriority FROM orders UNION ALL SELECT c_custkey, 0, TIMESTAMP '1991-01-01', c_mktsegment FROM customer WHERE c_custkey % 2 = 1)) GROUP BY 1) u0 USING (user_id)",
 )
 def a9_upsert_profiles(spark, sf):
-    c = B.table(spark, sf, "customer").where("c_custkey % 2 = 0")
+    every = B.table(spark, sf, "customer")
+    c = every.where("c_custkey % 2 = 0")
     cur = c.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("1990-01-01").alias("created_at"), F.col("c_mktsegment").alias("skin_type"), F.lit("never").alias("updated_at"))
-    o = B.table(spark, sf, "orders")
+    new = every.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("o_custkey"), F.lit(0).cast("bigint").alias("o_orderkey"), F.expr("timestamp'1991-01-01'").alias("o_orderdate"), F.col("c_mktsegment").alias("o_orderpriority"))
+    o = B.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    o = o.unionByName(new.withColumn("o_orderdate", F.col("o_orderdate").cast(o.schema["o_orderdate"].dataType)))
     upd = o.select(F.col("o_custkey").alias("user_id"), F.concat(F.lit("o"), "o_custkey").alias("id"), day("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("skin_type"), day("o_orderdate").alias("updated_at"))
     return KB.upsert_profiles(cur, upd).select("user_id", "id", "created_at", "skin_type", "updated_at")
 
@@ -193,12 +196,12 @@ _IDCOLS = {"brand": "p_brand", "name": "p_name || ' ' || lower(p_type)", "canoni
 _KBPROD = dict(
     enr="SELECT p_partkey, " + ", ".join(f"{v} AS {k}" for k, v in _IDCOLS.items()) + " FROM part", ident=TQ.IDENT,
     fp=f"SELECT p_partkey, brand, canonical_name, variant, category, size, name, {TQ.FP} AS fingerprint FROM enr",
-    reqs="SELECT f.p_partkey AS request_id, CASE WHEN f.p_partkey % 4 = 1 THEN 'x' || f.fingerprint ELSE f.fingerprint END AS fingerprint, CASE WHEN f.p_partkey % 8 = 1 THEN '' ELSE brand END AS brand, canonical_name, keys FROM fp f "
-    f"JOIN (SELECT p_partkey, {od('k')} AS keys FROM (SELECT p_partkey, {TQ.ALIAS_FORMS} AS k FROM ident)) a USING (p_partkey)",
-    stored="SELECT fingerprint, arg_min(brand, p_partkey) AS brand, arg_min(canonical_name, p_partkey) AS canonical_name, max(p_partkey) AS updated_at FROM fp WHERE p_partkey % 3 <> 2 GROUP BY 1",
-    forms="SELECT fp.fingerprint, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS formula_id, l_discount AS confidence, strftime(l_shipdate, '%Y-%m-%d') AS verified_at FROM lineitem JOIN fp ON p_partkey = l_partkey WHERE p_partkey % 5 <> 0",
+    ak=f"SELECT p_partkey, {od('k')} AS keys FROM (SELECT p_partkey, {TQ.ALIAS_FORMS} AS k FROM ident)",
+    reqs="SELECT f.p_partkey AS request_id, CASE WHEN f.p_partkey % 4 = 1 THEN 'x' || f.fingerprint ELSE f.fingerprint END AS fingerprint, CASE WHEN f.p_partkey % 8 = 1 THEN '' ELSE brand END AS brand, canonical_name, CASE WHEN f.p_partkey % 16 = 1 THEN list_transform(keys, lambda k: 'no ' || k) ELSE keys END AS keys FROM fp f JOIN ak a USING (p_partkey)",
+    stored="SELECT fingerprint, arg_min(brand, p_partkey) AS brand, arg_min(canonical_name, p_partkey) AS canonical_name, max(p_partkey) AS updated_at FROM fp GROUP BY 1",
+    forms="SELECT fp.fingerprint, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS formula_id, l_discount AS confidence, strftime(l_shipdate, '%Y-%m-%d') AS verified_at FROM lineitem JOIN fp ON p_partkey = l_partkey",
     bestf="SELECT * FROM forms QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY confidence DESC, verified_at DESC, formula_id DESC) = 1",
-    al=f"SELECT alias_key, arg_min(fingerprint, o) AS fingerprint FROM (SELECT unnest(keys) AS alias_key, fp.fingerprint, lpad(CAST(p_partkey AS VARCHAR), 12, '0') || fp.fingerprint AS o FROM fp JOIN reqs ON request_id = p_partkey WHERE p_partkey % 3 <> 2) GROUP BY 1",
+    al=f"SELECT alias_key, arg_min(fingerprint, o) AS fingerprint FROM (SELECT unnest(keys) AS alias_key, fp.fingerprint, lpad(CAST(p_partkey AS VARCHAR), 12, '0') || fp.fingerprint AS o FROM fp JOIN ak USING (p_partkey)) GROUP BY 1",
 )
 
 
@@ -209,15 +212,15 @@ def kb_tables(spark, sf):
     shown = F.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("x"), "fingerprint")).otherwise(F.col("fingerprint"))
     asked = keys.groupBy("p_partkey").agg(F.sort_array(F.collect_list(F.struct("ord", "alias_key"))).alias("k"))
     reqs = fp.join(asked, "p_partkey").select(
-        F.col("p_partkey").alias("request_id"), shown.alias("fingerprint"), F.when(F.col("p_partkey") % 8 == 1, "").otherwise(F.col("brand")).alias("brand"), "canonical_name", F.transform("k", lambda x: x["alias_key"]).alias("keys")
+        F.col("p_partkey").alias("request_id"), shown.alias("fingerprint"), F.when(F.col("p_partkey") % 8 == 1, "").otherwise(F.col("brand")).alias("brand"), "canonical_name",
+        F.transform("k", lambda x: F.when(F.col("p_partkey") % 16 == 1, F.concat(F.lit("no "), x["alias_key"])).otherwise(x["alias_key"])).alias("keys"),
     )
-    kept = fp.where("p_partkey % 3 <> 2")
-    stored = kept.groupBy("fingerprint").agg(F.min_by("brand", "p_partkey").alias("brand"), F.min_by("canonical_name", "p_partkey").alias("canonical_name"), F.max("p_partkey").alias("updated_at"))
-    li = B.table(spark, sf, "lineitem").where("l_partkey % 5 <> 0")
+    stored = fp.groupBy("fingerprint").agg(F.min_by("brand", "p_partkey").alias("brand"), F.min_by("canonical_name", "p_partkey").alias("canonical_name"), F.max("p_partkey").alias("updated_at"))
+    li = B.table(spark, sf, "lineitem")
     forms = li.join(fp.select(F.col("p_partkey").alias("l_partkey"), "fingerprint"), "l_partkey").select(
         "fingerprint", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("formula_id"), F.col("l_discount").alias("confidence"), day("l_shipdate").alias("verified_at")
     )
-    claims = keys.where("p_partkey % 3 <> 2").join(fp.select("p_partkey", "fingerprint"), "p_partkey").select("alias_key", "fingerprint", F.col("p_partkey").alias("registered_at"))
+    claims = keys.join(fp.select("p_partkey", "fingerprint"), "p_partkey").select("alias_key", "fingerprint", F.col("p_partkey").alias("registered_at"))
     return reqs, stored, forms, claims
 
 

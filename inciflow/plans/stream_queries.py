@@ -68,17 +68,17 @@ def j1_submissions_stream(spark, sf):
 
 
 # ------------------------------------------------------------------ J2
-_DEC = {"submission_id": "doc_id % 150", "ord": "doc_id", "decision": "CASE WHEN quality = 1 THEN 'APPROVED' ELSE 'REJECTED' END", "notes": "CASE WHEN toxic = 1 THEN 'toxic wording' ELSE '' END"}
+_DEC = {"submission_id": "CASE WHEN doc_id % 7 = 0 THEN doc_id % 150 + 1000000000 ELSE doc_id % 150 END", "ord": "doc_id", "decision": "CASE WHEN quality = 1 THEN 'APPROVED' ELSE 'REJECTED' END", "notes": "CASE WHEN toxic = 1 THEN 'toxic wording' ELSE '' END"}
 
 
 @query(
     "j2_review_decisions",
     "SELECT d.submission_id, CASE WHEN s.submission_id IS NULL THEN 'NOT_FOUND' ELSE decision END AS review_status, CASE WHEN s.submission_id IS NOT NULL THEN coalesce(nullif(notes, ''), CASE decision WHEN 'APPROVED' THEN 'Approved by reviewer.' ELSE 'Rejected by reviewer.' END) END AS review_notes FROM "
-    "(SELECT * FROM (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _DEC.items()) + " FROM labels) QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY ord DESC) = 1) d LEFT JOIN (SELECT DISTINCT doc_id AS submission_id FROM documents WHERE doc_id % 7 <> 0) s USING (submission_id)",
+    "(SELECT * FROM (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _DEC.items()) + " FROM labels) QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY ord DESC) = 1) d LEFT JOIN (SELECT DISTINCT doc_id AS submission_id FROM documents) s USING (submission_id)",
 )
 def j2_review_decisions(spark, sf):
     dec = B.table(spark, sf, "labels").select(*[F.expr(v).alias(k) for k, v in _DEC.items()])
-    subs = B.table(spark, sf, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("submission_id"))
+    subs = B.table(spark, sf, "documents").select(F.col("doc_id").alias("submission_id"))
     return J.review_batch(subs, dec)
 
 

@@ -236,9 +236,10 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def product_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Crawled pages with the product markup of the part of the same number appended."""
+    """Every crawled page with the product markup of a part appended, that of the same number while there are so many."""
     pages, part = texts(spark, sf, "pages"), table(spark, sf, "part")
-    return pages.join(part, pages.page_id == part.p_partkey).select(
+    parts = F.broadcast(part.agg(F.count(F.lit(1)).alias("parts")))  # one row
+    return pages.join(parts).join(part, F.pmod("page_id", "parts") == part.p_partkey).select(
         "page_id", "url", F.concat("html", F.expr(page_blocks())).alias("html"), "p_brand", "p_name", "p_type"
     )
 
@@ -264,4 +265,4 @@ OPEN_REQUESTS_SQL = REQUESTS_SQL + " UNION ALL SELECT c_custkey, -c_custkey FROM
 LISTINGS_SQL = (
     "SELECT *, " + NOISY_TITLE + " AS noisy FROM (SELECT *, " + LISTING_TITLE + " AS title FROM part)"
 )
-PAGES_SQL = f"SELECT page_id, url, html || {page_blocks()} AS html, p_brand, p_name, p_type FROM pages JOIN part ON page_id = p_partkey"
+PAGES_SQL = f"SELECT page_id, url, html || {page_blocks()} AS html, p_brand, p_name, p_type FROM pages JOIN part ON p_partkey = page_id % (SELECT count(*) FROM part)"
