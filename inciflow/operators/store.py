@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,9 @@ def upsert_profiles(current: DataFrame, updates: DataFrame, key: str = "user_id"
 
 
 def learn_ingredients(dim: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows for names the dimension lacks, with defaults; stored rows stay untouched."""
-    new = names.select("name").distinct().join(dim.select("name"), "name", "left_anti")
+    """Rows for names whose lookup key the dimension lacks, with defaults; stored rows stay untouched."""
+    known = dim.select(T.compact_key(F.col("name")).alias("_key")).distinct()
+    new = names.select("name").distinct().withColumn("_key", T.compact_key(F.col("name"))).join(known, "_key", "left_anti")
     return new.select(
         "name",
         F.lit("Unknown").alias("purpose"),
@@ -113,8 +115,19 @@ def verified_facts(resolutions: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def append_verified(resolutions: DataFrame, path: str) -> None:
+    """Append the facts that are not stored yet, by id: a retry adds nothing."""
+    spark = resolutions.sparkSession
     for name, df in zip(("formula", "source", "verification"), verified_facts(resolutions)):
-        df.write.mode("append").parquet(f"{path}/{name}")
+        key, place = f"{name}_id", f"{path}/{name}"
+        df = first_per_key(df, [key], [F.col(c) for c in df.columns])
+        try:
+            stored = spark.read.parquet(place).select(key)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            df = df.join(stored, key, "left_anti")
+        df.write.mode("append").parquet(place)
 
 
 def attempt_rows(resolutions: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ _NM = "CASE WHEN p_partkey % 3 = 0 THEN p_type || ' ' || p_name ELSE p_name END"
 
 @query(
     "a6_learn_ingredients",
-    ctes(f"SELECT DISTINCT {_NM} AS name, 'Unknown' AS purpose, 'LOW' AS risk_level, 'LIMITED' AS evidence_level, 0 AS comedogenic, 0 AS irritation FROM part WHERE {_NM} NOT IN (SELECT name FROM dim)", dim=B.DIM_SQL),
+    ctes(f"SELECT DISTINCT {_NM} AS name, 'Unknown' AS purpose, 'LOW' AS risk_level, 'LIMITED' AS evidence_level, 0 AS comedogenic, 0 AS irritation FROM part WHERE {D.compact_key(_NM)} NOT IN (SELECT {D.compact_key('name')} FROM dim)", dim=B.DIM_SQL),
 )
 def a6_learn_ingredients(spark, sf):
     return KB.learn_ingredients(B.dimension(spark, sf), B.table(spark, sf, "part").select(F.expr(_NM).alias("name")))

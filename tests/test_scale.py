@@ -80,7 +80,7 @@ def test_append_facts_round_trip(spark, tmp_path):
     for _ in range(2):
         KB.append_verified(res, str(tmp_path / "facts"))
     formula = spark.read.parquet(str(tmp_path / "facts" / "formula"))
-    assert formula.count() == 2 * formula.select("formula_id").distinct().count()
+    assert 0 < formula.count() == formula.select("formula_id").distinct().count()
     KB.append_attempts(attempt_log(spark, SF), str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
     assert "PartitionFilters: [isnotnull(stage" in plan(log.where("stage = 'view'"))
