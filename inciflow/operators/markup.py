@@ -65,13 +65,34 @@ def _document_rows(doc):
             todo.extend((path + [str(i)], False, v) for i, v in reversed(list(enumerate(value))))
 
 
+#: Parts of an object literal that JSON writes otherwise: strings, bare keys, `undefined`, commas before an end.
+_LITERAL = re.compile(r"""("(?:[^"\\]|\\.)*")|'((?:[^'\\]|\\.)*)'|([A-Za-z_$][\w$]*)(?=\s*:)|\b(undefined)\b|,(?=\s*[}\]])""", re.S)
+
+
+def _as_json(found: re.Match) -> str:
+    double, single, key, missing = found.groups()
+    if double is not None:
+        return double
+    if single is not None:
+        return json.dumps(re.sub(r"\\(['\"])", r"\1", single))
+    return json.dumps(key) if key is not None else "null" if missing else ""
+
+
+def _parsed(body: str):
+    """The value of JSON, else of an object literal of plain values; ValueError for all else. Nothing is evaluated."""
+    try:
+        return json.loads(body)
+    except ValueError:
+        return json.loads(_LITERAL.sub(_as_json, body), strict=False)
+
+
 def _json_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split(" ")[0] for c in PATH_SCHEMA.split(", ")]
     for pdf in batches:
         out = []
         for page, block_ord, block, body in pdf[["page_id", "block_ord", "block", "body"]].itertuples(index=False):
             try:
-                doc = json.loads(body)
+                doc = _parsed(body)
             except ValueError:
                 continue
             for n, names, value in _document_rows(doc):

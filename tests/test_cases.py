@@ -259,3 +259,11 @@ def test_ranks_and_cache_reads_keep_null_rows(spark):
     assert sorted((r["v"], r["position"]) for r in rank_in_group(df, ["g"], ["c"], [F.col("v")]).collect()) == [(5, 0), (6, 1), (7, 0)]
     events = spark.sql("SELECT CAST(NULL AS BIGINT) AS key, 1L AS ord, CAST(NULL AS TIMESTAMP) AS ts, 'read' AS kind")
     assert [r["hit"] for r in ttl_hits(events).collect()] == [False]
+
+
+def test_object_literals_of_page_state(spark):
+    """Bare keys, single quotes and trailing commas; script code is left alone."""
+    html = """<script>window.__NUXT__ = { product: { name: "Gel", 'ingredients': 'Water, Glycerin, Niacinamide, D\\'or', list: [1, 2,], gone: undefined, } };</script><script>{ run(); }</script>"""
+    paths = M.json_paths(P.state_blocks(spark.createDataFrame([(1, html)], "page_id long, html string"))).collect()
+    got = {r["path"]: r["items"] for r in paths}
+    assert got["product.ingredients"] == ["Water, Glycerin, Niacinamide, D'or"] and got["product.name"] == ["Gel"]
