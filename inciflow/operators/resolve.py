@@ -128,9 +128,11 @@ def fuzzy_resolve(misses: DataFrame, dim: DataFrame) -> DataFrame:
     """Nearest catalogue entry of each missed key, if near enough.
 
     A key of length n may differ by k = max(1, floor(0.18 n)) edits.  An entry
-    cut into k + 1 pieces shares one piece with such a key, moved by at most k
-    places, so an equi-join on (k, entry length, piece number, piece) loses no
-    pair and needs no cartesian product.
+    cut into k + 1 pieces shares one piece with such a key.  If the piece moved by
+    s places and the lengths differ by d, the parts before and after it need
+    |s| + |d - s| edits, which bounds s.  An equi-join on (k, entry length, piece
+    number, piece) loses no pair and needs no cartesian product; keys are cut
+    for lengths that entries have only.
     """
     keys = misses.select("input_key").distinct().withColumn("n", F.length("input_key")).withColumn(
         "k", F.greatest(F.lit(1), F.floor(F.col("n") * 18 / 100)).cast("int")
@@ -144,12 +146,14 @@ def fuzzy_resolve(misses: DataFrame, dim: DataFrame) -> DataFrame:
         .withColumn("b", F.expr("cast(floor((piece_no + 1) * m / (k + 1)) as int)"))
         .select("ingredient_id", "name", "ord", "key", "m", "k", "piece_no", F.expr("substr(key, a + 1, b - a)").alias("piece"))
     )
+    lengths = entries.select("k", "m").distinct()
     probes = (
         keys.withColumn("m", F.explode(F.expr("sequence(greatest(n - k, 1), n + k)")))
+        .join(lengths, ["k", "m"])
         .withColumn("piece_no", F.explode(F.expr("sequence(0, k)")))
         .withColumn("a", F.expr("cast(floor(piece_no * m / (k + 1)) as int)"))
         .withColumn("w", F.expr("cast(floor((piece_no + 1) * m / (k + 1)) as int) - a"))
-        .withColumn("at", F.explode(F.expr("sequence(a - k, a + k)")))
+        .withColumn("at", F.explode(F.expr("sequence(a + cast(ceil((n - m - k) / 2) as int), a + cast(floor((n - m + k) / 2) as int))")))
         .where("at >= 0 AND at + w <= n")
         .select("input_key", "n", "m", "k", "piece_no", F.expr("substr(input_key, at + 1, w)").alias("piece"))
         .distinct()
