@@ -80,7 +80,7 @@ def expand_synonyms(names: DataFrame) -> DataFrame:
     ).drop("_target", "_again")
 
 
-def name_dictionary(tokens: DataFrame, dim: DataFrame, fuzzy: bool = False) -> DataFrame:
+def name_dictionary(tokens: DataFrame, dim: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Each different raw name once: what it resolves to and how it looks as a token.
 
     Names repeat across lists, so keys, patterns and lookups are evaluated per
@@ -114,7 +114,7 @@ def name_dictionary(tokens: DataFrame, dim: DataFrame, fuzzy: bool = False) -> D
     return found.join(support, "ingredient_id", "left")
 
 
-def resolve_names(tokens: DataFrame, dim: DataFrame, fuzzy: bool = False) -> DataFrame:
+def resolve_names(tokens: DataFrame, dim: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Token rows with normalized_input, canonical_name, ingredient_id, match_type and token facts.
 
     The dictionary has one row per name, so no row multiplies.  Whether it is

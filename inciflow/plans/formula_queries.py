@@ -24,7 +24,7 @@ METHOD = (
 )
 BRAND = "CASE list_id % 3 WHEN 0 THEN 'Maker' WHEN 1 THEN '' ELSE 'Nobody' END"
 
-RES = dict(dim=B.DIM_SQL, lines=B.LINES_SQL, entries=Q.ENTRIES, direct=Q.DIRECT, targets=Q.TARGETS, res=Q.resolved("lines"))
+RES = dict(dim=B.DIM_SQL, lines=B.LINES_SQL, **Q.resolution())
 CNT = dict(RES, cnt=Q.counters("res"))
 LONG = dict(RES, lines=B.LONG_LINES_SQL)
 LONG_CNT = dict(LONG, cnt=Q.counters("res"))
@@ -91,7 +91,7 @@ def d3_fuzzy_names(spark, sf):
 
 @query(
     "d4_unknown_names",
-    ctes("SELECT min(normalized_input) AS name, count(*) AS uses FROM res WHERE match_type = 'unknown' GROUP BY " + D.compact_key("normalized_input"), **RES),
+    ctes("SELECT min(normalized_input) AS name, count(*) AS uses FROM res0 WHERE match_type = 'unknown' GROUP BY " + D.compact_key("normalized_input"), **RES),
 )
 def d4_unknown_names(spark, sf):
     return R.unknown_names(B.formula_lines(spark, sf), B.dimension(spark, sf))
@@ -374,7 +374,7 @@ def f14_breakdown(spark, sf):
     return S.breakdown(scored_lines(spark, sf))
 
 
-def analyze(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame, min_count: int = K.MIN_LIST_SIZE, fuzzy: bool = False) -> DataFrame:
+def analyze(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame, min_count: int = K.MIN_LIST_SIZE, fuzzy: bool = True) -> DataFrame:
     """One row per distinct request: gate, scores, verdict, confidence, strengths and weaknesses.
 
     Requests for lists without lines are answered too (not verified). Lists are typed in by hand, so brand and site are both `Manual Input`.

@@ -42,6 +42,24 @@ def resolved(lines: str, keep: str = "") -> str:
     )
 
 
+# the nearest entry of each name that res0 misses, if it is near enough
+NEAR = (
+    "SELECT input_key, ingredient_id, name FROM (SELECT u.input_key, e.ingredient_id, e.name, levenshtein(u.input_key, e.key) AS distance, "
+    "row_number() OVER (PARTITION BY u.input_key ORDER BY levenshtein(u.input_key, e.key), e.ingredient_id, e.form_pos) AS rn "
+    "FROM (SELECT DISTINCT input_key FROM res0 WHERE ingredient_id IS NULL AND input_key <> '') u CROSS JOIN entries e) "
+    "WHERE rn = 1 AND distance <= greatest(1, floor(length(input_key) * 18 / 100.0))"
+)
+WITH_NEAR = (
+    "SELECT r.* EXCLUDE (input_key, ingredient_id, canonical_name, match_type), coalesce(r.ingredient_id, n.ingredient_id) AS ingredient_id, "
+    "coalesce(n.name, r.canonical_name) AS canonical_name, CASE WHEN n.name IS NULL THEN r.match_type ELSE 'fuzzy' END AS match_type "
+    "FROM res0 r LEFT JOIN near n ON r.ingredient_id IS NULL AND n.input_key = r.input_key"
+)
+
+
+def resolution(lines: str = "lines") -> dict[str, str]:
+    return dict(entries=ENTRIES, direct=DIRECT, targets=TARGETS, res0=resolved(lines, ", e.input_key"), near=NEAR, res=WITH_NEAR)
+
+
 SHOWN = "CASE WHEN match_type IN ('fuzzy', 'unknown') THEN normalized_input ELSE canonical_name END"
 
 

@@ -34,7 +34,7 @@ SUBM = dict(
     kb=f"SELECT DISTINCT {_SUB['fingerprint']} AS fingerprint FROM conversations WHERE conv_id % 60 < 6",
     sec=f"SELECT s.*, {D.label_section('text')} AS section, k.fingerprint IS NOT NULL AS known FROM subm s LEFT JOIN kb k USING (fingerprint)",
     lines=f"SELECT submission_id AS list_id, i - 1 AS position, a[i] AS raw_name FROM (SELECT submission_id, a, unnest(generate_series(1, len(a))) AS i FROM (SELECT submission_id, {D.split_list('section')} AS a FROM sec WHERE NOT known AND section <> ''))",
-    entries=Q.ENTRIES, direct=Q.DIRECT, targets=Q.TARGETS, res=Q.resolved("lines"), cnt=Q.counters("res"), ver=Q.verified(LIST_MIN),
+    **Q.resolution(), cnt=Q.counters("res"), ver=Q.verified(LIST_MIN),
     chk=f"SELECT list_id AS submission_id, ingredient_count, verified, {Q.reason(LIST_MIN, D.q('Community Verified Formula'))} AS reason FROM ver",
     fst="SELECT fingerprint, min(ord) AS first_ord FROM sec JOIN chk USING (submission_id) WHERE verified GROUP BY 1",
     outc="SELECT s.submission_id, s.fingerprint, CASE WHEN known OR ord > first_ord THEN 'ALREADY_VERIFIED' WHEN section = '' THEN 'OCR_REQUIRED' WHEN verified THEN 'VERIFIED_AND_STORED' ELSE 'PENDING_REVIEW' END AS status, "
