@@ -6,7 +6,7 @@ same binding has to exist in Spark and in the DuckDB check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import rank_in_group
@@ -189,11 +189,12 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def formula_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """list_id, position, raw_name: one row per ingredient line of an order."""
+    """list_id, position, raw_name: one row per ingredient line of an order (lists are short: one window does)."""
     li = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("list_id"), "l_linenumber", "l_partkey", "l_suppkey"
     )
-    ranked = rank_in_group(li, ["list_id"], ["l_linenumber", "l_partkey"], [F.col("l_suppkey")])
+    place = F.row_number().over(Window.partitionBy("list_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    ranked = li.withColumn("position", place)
     names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("raw_name"))
     return ranked.join(names, "l_partkey").select("list_id", "position", "raw_name")
 
