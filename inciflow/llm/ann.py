@@ -118,13 +118,18 @@ def best_of(scores: np.ndarray, exact, ids: np.ndarray, k: int) -> tuple[np.ndar
     return some[order], value[order]
 
 
-def nearest_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, outside=None):
-    """(query position, row position, score) of the k best rows per query, never one with the query's id."""
+def nearest_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, outside=None, least=None):
+    """(query position, row position, score) of the k best rows per query, never one with the query's id.
+
+    Rows that are `outside`, or clearly below the score that a query asks for at `least`, are left out.
+    """
     out = []
     for at in range(0, len(queries), 256):
         s = queries[at : at + 256] @ rows.T
         if outside is not None:
             s[outside(slice(at, at + 256))] = -np.inf
+        if least is not None:
+            s[s < least[at : at + 256, None] - 1e-9 * np.maximum(1.0, np.abs(least[at : at + 256, None]))] = -np.inf
         s[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
         for i in range(len(s)):
             pos, value = best_of(s[i], lambda some, q=queries[at + i]: (rows[some] * q).sum(axis=1), ids, k)
@@ -205,8 +210,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     chunks = max(1, -(-(2 * width + BLOCK) // QUERY_CHUNK // every))
     chunk = F.pmod(F.xxhash64("uid"), F.lit(chunks)).cast("int")
     blocks = F.sequence(F.floor(F.greatest(F.lit(0), F.col("pos") - width) / BLOCK), F.floor((F.col("pos") + width) / BLOCK))
-    asked = placed.filter("query").select("curve", F.explode(blocks).alias("block"), chunk.alias("chunk"), "uid", "vec_id", "v", "pos")
-    held = placed.filter("NOT query").select("curve", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "uid", "vec_id", "v", "pos")
+    own = F.floor(F.col("pos") / BLOCK).cast("long")
+    asked = placed.filter("query").select("curve", F.explode(blocks).alias("block"), own.alias("own"), chunk.alias("chunk"), "uid", "vec_id", "v", "pos")
+    held = placed.filter("NOT query").select("curve", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "uid", "vec_id", "v", "pos")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = [t.column(c).to_numpy() for t in (left, right) for c in ("vec_id", "uid", "pos")]
@@ -214,13 +220,24 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
             empty = np.array([], dtype=int)
             return found_batch((empty, empty, np.array([])), ids[0], ids[1], ids[3], ids[4])
         far = lambda part: np.abs(ids[2][part, None] - ids[5][None, :]) > width
-        hit = nearest_of(matrix(left.column("v"), dim), ids[0], matrix(right.column("v"), dim), ids[3], k, far)
+        hit = nearest_of(matrix(left.column("v"), dim), ids[0], matrix(right.column("v"), dim), ids[3], k, far, left.column("least").to_numpy())
         return found_batch(hit, ids[0], ids[1], ids[3], ids[4])
 
-    keys = ["curve", "block", "chunk"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, FOUND)
-    once = found.groupBy("query_uid", "uid").agg(F.first("query_id").alias("query_id"), F.first("vec_id").alias("vec_id"), F.first("score").alias("score"))
-    return top(once, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def met(queries: DataFrame) -> DataFrame:
+        keys = ["curve", "block", "chunk"]
+        fresh = queries.toDF(*queries.columns)  # columns of its own: both sides come from one table
+        return fresh.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, FOUND)
+
+    def once(found: DataFrame) -> DataFrame:
+        return found.groupBy("query_uid", "uid").agg(F.first("query_id").alias("query_id"), F.first("vec_id").alias("vec_id"), F.first("score").alias("score"))
+
+    # the blocks of the query's own places first: other blocks give only rows that are not below the k-th best of these
+    asked = asked.withColumn("block", F.col("block").cast("long"))
+    near = stored(met(asked.filter("block = own").withColumn("least", F.lit(float("-inf"))).drop("own")), "ann-near")
+    worst = top(once(near), k).filter(F.col("rank") == k).select(F.col("query_uid").alias("uid"), F.col("score").alias("least"))
+    others = asked.filter("block <> own").join(worst, "uid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    found = near.unionByName(met(others.select("curve", "block", "chunk", "uid", "vec_id", "v", "pos", "least")))
+    return top(once(found), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def window_width(both: DataFrame, placed: DataFrame, dim: int, k: int, recall: float) -> int:
