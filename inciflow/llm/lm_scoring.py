@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inciflow.llm.common import stored
+from inciflow.llm.common import small_batches, stored
 
 #: The end of a text. It can't be a word, as it is white space.
 END = b"\n"
@@ -37,8 +37,8 @@ WIDTH, CONTEXT, NOISE, BATCH = 24, 2, 64, 2048
 FREQUENT = 500_000
 #: Distinct tokens that a counting task holds at most before it hands them on.
 HELD_WORDS = 500_000
-#: Tokens that a scoring task works on at once.
-SCORED_TOKENS = 400_000
+#: Tokens that a scoring task, and a training task, works on at once.
+SCORED_TOKENS, TRAINED_TOKENS = 200_000, 1_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -63,7 +63,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for b in batches:
+        for b in small_batches(batches):
             for t in b.column(0).to_pylist():
                 counts.update(tokens(t))
             if len(counts) > HELD_WORDS:
@@ -222,26 +222,35 @@ class Trainer:
             value += self.rate * grad / np.sqrt(seen)
 
 
+    def learn(self, texts: list[np.ndarray]) -> None:
+        """One pass over the classes of some texts, in minibatches."""
+        base = len(self.p.r)
+        context, target = np.concatenate([contexts(x, base - 1) for x in texts]), np.concatenate(texts)
+        # equal contexts with equal targets are one row that counts as often as it stands there
+        keys, times = np.unique(context @ (base ** np.arange(1, CONTEXT + 1)) + target, return_counts=True)
+        order = self.rng.permutation(len(keys))
+        for at in range(0, len(order), BATCH):
+            some = keys[order[at : at + BATCH]]
+            before = np.stack([some // base**k % base for k in range(1, CONTEXT + 1)], axis=1)
+            self.step(before, some % base, times[order[at : at + BATCH]])
+
+
 def train_round(docs: DataFrame, voc: Vocabulary, start: Parameters, rate: float) -> Parameters:
     """One pass over all training documents; the mean of the partitions' parameters, weighted by their tokens."""
     noise, classes = voc.noise(), voc.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, trainer, seen = Coder(voc), Trainer(start, noise, rate, 1 + TaskContext.get().partitionId()), 0
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            ids = [coder.cls[coder.codes(tokens(t))] for t in texts]
-            if not ids:
-                continue
-            context, target = np.concatenate([contexts(x, classes) for x in ids]), np.concatenate(ids)
-            # equal contexts with equal targets are one row that counts as often as it stands there
-            keys, times = np.unique(context @ ((classes + 1) ** np.arange(1, CONTEXT + 1)) + target, return_counts=True)
-            order = trainer.rng.permutation(len(keys))
-            for at in range(0, len(order), BATCH):
-                some = keys[order[at : at + BATCH]]
-                before = np.stack([some // (classes + 1) ** k % (classes + 1) for k in range(1, CONTEXT + 1)], axis=1)
-                trainer.step(before, some % (classes + 1), times[order[at : at + BATCH]])
-            seen += len(target)
+        ids, held = [], 0
+        for b in small_batches(batches):
+            ids += [coder.cls[coder.codes(tokens(t))] for t in b.column(0).to_pylist()]
+            held = sum(map(len, ids))
+            if held > TRAINED_TOKENS:
+                trainer.learn(ids)
+                ids, seen = [], seen + held
+        if ids:
+            trainer.learn(ids)
+            seen += held
         if seen:
             flat = trainer.p.flat().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["i", "v", "w"])
@@ -312,7 +321,7 @@ def partial_scores(docs: DataFrame, voc: Vocabulary, p: Parameters) -> DataFrame
                 number += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-        for b in batches:
+        for b in small_batches(batches, 4096):
             held, size = [], 0
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.append(row)
