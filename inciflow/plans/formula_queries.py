@@ -436,3 +436,15 @@ def order_analysis(spark, sf):
 
 
 query("f15_analyze", ctes(ANALYZE_SQL, **ANALYZE))(order_analysis)
+
+
+# Long lists under the size rule of the domain; each is asked about by one profile.
+_LONG_REQUESTS = "SELECT DISTINCT list_id % (SELECT count(*) FROM customer) AS profile_id, list_id FROM lines"
+
+
+@query("f15_analyze_long", ctes(ANALYZE_SQL, **dict(ANALYZE, lines=B.LONG_LINES_SQL, ver=Q.verified(K.MIN_LIST_SIZE), allreq=_LONG_REQUESTS)))
+def f15_analyze_long(spark, sf):
+    lines = B.long_formula_lines(spark, sf)
+    customers = F.broadcast(B.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n")))  # one row
+    asked = lines.select("list_id").distinct().join(customers).select((F.col("list_id") % F.col("n")).alias("profile_id"), "list_id")
+    return analyze(lines, asked, B.dimension(spark, sf), B.profiles(spark, sf))
