@@ -601,7 +601,7 @@ def _bonus(kind):
             f"SELECT page_id, '{kind}' AS kind, pos, url, rank_score, row_number() OVER (PARTITION BY page_id ORDER BY rank_score DESC, pos) AS rn FROM (SELECT *, CAST(greatest(0, final_score + {_bonus(kind)}) AS BIGINT) AS rank_score FROM fin)"
             for kind in LK.LINK_BONUS
         )
-        + ") WHERE rn <= 2",
+        + ") WHERE rn <= 10",
         **PG, **OUT, lnk=_LINKS_SQL, **match_ctes("lnk"),
     ),
 )
@@ -618,7 +618,7 @@ def c20_rank_links(spark, sf):
         }
     )
     scored = LK.match_products(pairs).select("page_id", "pos", "url", "text", "final_score")
-    return LK.rank_links(scored, list(LK.LINK_BONUS), 2).select("page_id", "kind", "pos", "url", "rank_score", "rank")
+    return LK.rank_links(scored, list(LK.LINK_BONUS), 10).select("page_id", "kind", "pos", "url", "rank_score", "rank")
 
 
 _HITS = "SELECT page_id % 40 AS request_id, page_id * 100 + pos AS ord, CASE WHEN page_id % 2 = 0 THEN 'shop.example.com' ELSE 'm.example.com' END AS domain, url FROM outl"
@@ -628,7 +628,7 @@ _HITS = "SELECT page_id % 40 AS request_id, page_id * 100 + pos AS ord, CASE WHE
     "c21_cap_hits",
     ctes(
         "SELECT request_id, domain, url, ord, CAST(domain_rank AS INT) AS domain_rank, CAST(row_number() OVER (PARTITION BY request_id ORDER BY ord) AS INT) AS rank FROM "
-        "(SELECT *, row_number() OVER (PARTITION BY request_id, domain ORDER BY ord) AS domain_rank FROM (SELECT request_id, domain, url, min(ord) AS ord FROM hits WHERE contains(url, domain) GROUP BY 1, 2, 3)) WHERE domain_rank <= 3 QUALIFY rank <= 4",
+        "(SELECT *, row_number() OVER (PARTITION BY request_id, domain ORDER BY ord) AS domain_rank FROM (SELECT request_id, domain, url, min(ord) AS ord FROM hits WHERE contains(url, domain) GROUP BY 1, 2, 3)) WHERE domain_rank <= 3 QUALIFY rank <= 12",
         **PG, **OUT, hits=_HITS,
     ),
 )
@@ -638,7 +638,7 @@ def c21_cap_hits(spark, sf):
         (F.col("page_id") % 40).alias("request_id"), (F.col("page_id") * 100 + F.col("pos")).alias("ord"),
         F.when(F.col("page_id") % 2 == 0, "shop.example.com").otherwise("m.example.com").alias("domain"), "url",
     )
-    return LK.cap_hits(hits, 3, 4).select("request_id", "domain", "url", "ord", "domain_rank", "rank")
+    return LK.cap_hits(hits, 3, 12).select("request_id", "domain", "url", "ord", "domain_rank", "rank")
 
 
 def _slug(x):
@@ -761,11 +761,11 @@ _RANK = " + ".join(f"CASE WHEN regexp_matches({_words}, {D.q(p)}) THEN {v} ELSE
 
 @query(
     "c26_rank_images",
-    ctes(f"SELECT page_id, n, url, CAST({_RANK} AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY {_RANK} DESC, n) AS INT) AS rank FROM ded QUALIFY rank <= 2", **DED),
+    ctes(f"SELECT page_id, n, url, CAST({_RANK} AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY {_RANK} DESC, n) AS INT) AS rank FROM ded QUALIFY rank <= 12", **DED),
 )
 def c26_rank_images(spark, sf):
     df = I.filter_images(attributed_images(spark, sf)).drop("ord").withColumnRenamed("n", "ord")
-    return I.rank_images(I.dedupe_images(df), 2).select("page_id", F.col("ord").alias("n"), "url", "score", "rank")
+    return I.rank_images(I.dedupe_images(df)).select("page_id", F.col("ord").alias("n"), "url", "score", "rank")
 
 
 # ------------------------------------------------------------------ C27 - C29
