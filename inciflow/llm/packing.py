@@ -10,6 +10,7 @@ tokens into windows that are powers of two, which need no padding.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -55,7 +56,11 @@ class WordEncoder(dict):
         if len(self) > CACHE_WORDS:
             self.clear()
         text = word.decode()
-        if PLAIN.fullmatch(text):
+        plain = text.isascii() and text.isprintable() or PLAIN.fullmatch(text)
+        if plain and text.isalpha():  # letters alone are one piece
+            low = text.lower()
+            found = self.pieces.get(low) or self._piece(low)
+        elif plain:
             found = b"".join([self.pieces.get(p) or self._piece(p) for p in self.pattern.findall(text.lower())])
         else:
             found = self.whole(word)
@@ -66,7 +71,8 @@ class WordEncoder(dict):
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         letters = piece.encode().decode("latin-1").translate(self.letters)
-        found = np.array([x.id for x in self.model.tokenize(letters)], dtype="<u4").tobytes()
+        ids = [x.id for x in self.model.tokenize(letters)]
+        found = struct.pack(f"<{len(ids)}I", *ids)
         self.pieces[piece] = found
         return found
 
