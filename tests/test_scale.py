@@ -10,6 +10,7 @@ from inciflow.operators import consensus as C
 from inciflow.operators import resolve as R
 from inciflow.operators import store as KB
 from inciflow.operators.ranking import rank_in_group
+from inciflow.plans import catalog
 from tests.conftest import SF
 
 
@@ -98,9 +99,10 @@ def test_learning_second_page_is_a_hit(spark, starter):
 
 
 def test_every_query_has_a_name_and_most_have_sql():
-    names, sql = set(entry.queries()), set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    names, sql = set(catalog.queries()), set(catalog.oracle_sql())
     assert sql <= names and len(names - sql) <= 2
     ids = {n.split("_")[0] for n in names}
     sizes = {"a": 9, "b": 21, "c": 30, "d": 11, "e": 12, "f": 18, "g": 10, "h": 3, "j": 6}
     assert {f"{k}{i}" for k, n in sizes.items() for i in range(1, n + 1)} <= ids
-    assert not list(itertools.filterfalse(str.islower, {n[0] for n in names}))
+    assert not list(itertools.filterfalse(str.islower, {n[0] for n in entry.queries()}))
