@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inciflow.llm.common import small_batches
+
 GRADES = 3
 #: Hashed features.
 DIM = 1 << 20
@@ -168,7 +170,7 @@ def rated(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for b in batches:
+        for b in small_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array([as_array(features.of(t)).tobytes() for t in b.column("t").to_pylist()], pa.binary()), b.column("grade")], ["f", "grade"])
 
     # repeated rows of a doc_id could exceed the sample: the limit holds for what comes to the driver too
@@ -188,7 +190,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = model.scorer()
-        for b in batches:
+        for b in small_batches(batches):
             names = [n for n in b.schema.names if n != "_text"]
             score = np.array([score_of(t) for t in b.column("_text").to_pylist()], dtype=np.float64)
             tails = model.tails(score)

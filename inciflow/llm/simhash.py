@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inciflow.llm.common import HEAVY_SHARE, attach, stored
+from inciflow.llm.common import HEAVY_SHARE, attach, small_batches, stored
 
 #: Members of a bucket that one task compares with one another; larger buckets are dealt as pairs of chunks.
 CHUNK = 4096
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id and all other columns of `docs` but text, with `fp` (bigint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             fp = pa.array([fingerprint(t, shingle) for t in batch.column("_text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*[c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "_text"], fp], [*[n for n in batch.schema.names if n != "_text"], "fp"])
 
