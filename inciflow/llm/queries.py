@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inciflow.llm import ann, fingerprint, line_dedup, lm_scoring, mixing, packing, quality, sharding, simhash, warc
+from inciflow.llm import alignment, ann, filter_audit, fingerprint, line_dedup, lm_scoring, mixing, packing, quality, sharding, simhash, url_filter, warc
 
 
 #: Vocabulary that op2_pack and the pipeline use.
@@ -70,9 +70,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "expected_grade", "tail_probability")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL under the contract's rules; URLs of mirrored pages are the list."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.contract_rules(spark), url_filter.mirror_urls(pages))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_pack, op3_shard, op4_mix, op5_warc, op6_ann, op7_fingerprint, op8_line_dedup, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_pack, op3_shard, op4_mix, op5_warc, op6_ann, op7_fingerprint, op8_line_dedup, op9_simhash, op10_quality, op11_url_filter, op12_filter_audit, op13_align)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": mixing.MIX_SQL, "op5_warc": warc.PAGES_SQL, "op8_line_dedup": line_dedup.LINES_SQL}
+    return {"op4_mix": mixing.MIX_SQL, "op5_warc": warc.PAGES_SQL, "op8_line_dedup": line_dedup.LINES_SQL, "op11_url_filter": url_filter.JUDGE_SQL, "op12_filter_audit": filter_audit.AUDIT_SQL}
