@@ -71,9 +71,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL under the contract's rules; URLs of mirrored pages are the list."""
+    """Every page's URL under the contract's rules; URLs that serve different pages are the list."""
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.contract_rules(spark), url_filter.mirror_urls(pages))
+    return url_filter.judge(pages, url_filter.contract_rules(spark), url_filter.unstable_urls(pages))
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,17 +150,13 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     return missed.select(*out).unionByName(judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict")))
 
 
-def mirror_urls(pages: DataFrame) -> DataFrame:
-    """url: canonical URLs of pages whose html an earlier page (smaller page_id) has under another canonical URL.
+def unstable_urls(pages: DataFrame) -> DataFrame:
+    """url: canonical URLs under which pages hold different html, so that a URL does not say what is read there.
 
-    Pages without page_id, html or a canonical URL are not compared.
+    Pages without html or a canonical URL are not compared.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), canonical(F.col("url")).alias("url"), F.sha2("html", 256).alias("digest")).dropna()
-    # pages of one html and URL are one row, so copies under one URL are no hot key
-    rows = stored(rows.groupBy("digest", "url").agg(F.min("page_id").alias("page_id")), "url-bodies")
-    first = rows.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("met")).filter("met > 1")
-    first = first.select("digest", F.col("first.url").alias("first"), "met")
-    return attach(rows, first, ["digest"], "met", HEAVY_SHARE * rows.count(), ["url"]).filter("url != first").select("url").distinct()
+    rows = pages.select(canonical(F.col("url")).alias("url"), F.sha2("html", 256).alias("digest")).dropna()
+    return rows.groupBy("url").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least != most").select("url")
 
 
 def contract_rules(spark: SparkSession) -> DataFrame:
@@ -180,8 +176,7 @@ WITH cut AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 named AS (SELECT *, CASE WHEN whole THEN {_canonical_sql('host', 'path', 'url')} END AS own FROM cut),
-earliest AS (SELECT html, arg_min(own, page_id) AS first_own FROM named WHERE page_id IS NOT NULL AND html IS NOT NULL AND own IS NOT NULL GROUP BY html),
-listed AS (SELECT DISTINCT own FROM named JOIN earliest USING (html) WHERE page_id IS NOT NULL AND own != first_own),
+listed AS (SELECT own FROM named WHERE own IS NOT NULL GROUP BY own HAVING count(DISTINCT html) > 1),
 rules AS (SELECT * FROM (VALUES {', '.join(str(r) for r in RULES)}) r(verdict, rule_host, rule_path)),
 fits AS (
   SELECT n.page_id, n.url, arg_max(rule_host || rule_path, len(rule_host || rule_path)) AS rule, arg_max(verdict, len(rule_host || rule_path)) AS verdict
