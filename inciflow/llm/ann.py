@@ -190,17 +190,18 @@ def orderings(rows: DataFrame, curves: Curves) -> DataFrame:
 def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows found of each row whose vec_id is divisible by `every`.
 
-    Of equal vectors only the k + 1 smallest ids can ever be among the nearest, so further copies are not
-    indexed (which loses nothing). Repeated rows of a vec_id are rows of their own, but no row with the id of a
+    Of equal vectors only k rows of an id, and of these the first 2 k by id, can ever be among the nearest (a query
+    passes over the at most k rows of its own id), so further copies are not indexed, which loses nothing. Repeated rows of a vec_id are rows of their own, but no row with the id of a
     query is its neighbour. Without usable vectors there are no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows, dim = usable(vectors.select("vec_id", "embedding"))
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    repeat = F.row_number().over(Window.partitionBy("same", "vec_id").orderBy("uid"))
     copy = F.row_number().over(Window.partitionBy("same").orderBy("vec_id", "uid"))
     base = rows.withColumn("same", F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string")))))
-    base = base.withColumn("copy", copy).filter(F.col("copy") <= k + 1).select("uid", "vec_id", "v", F.lit(False).alias("query"))
+    base = base.withColumn("repeat", repeat).filter(F.col("repeat") <= k).withColumn("copy", copy).filter(F.col("copy") <= 2 * k).select("uid", "vec_id", "v", F.lit(False).alias("query"))
     queries = rows.filter(F.col("vec_id") % every == 0).select("uid", "vec_id", "v", F.lit(True).alias("query"))
     both = stored(base.unionByName(queries), "ann-rows")
     largest = both.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] ** 0.5

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than this share of all rows is "heavy"; there are at most 1 / share of them, so they can be broadcast.
 HEAVY_SHARE = 0.001
+#: The folder of a local session that has none set: made once.
+_own_folder: list[str] = []
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -34,9 +36,19 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='inciflow-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _own_folder:
+        _own_folder.append(f"file://{tempfile.mkdtemp(prefix='inciflow-')}")
+    return _own_folder[0]
+
+
+def packed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All columns in the struct `row`, and those named beside it: no name of a helper column can clash."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[df[c] for c in columns])
+
+
+def unpacked(names: list[str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of `row`, but for those that the operator's own replace."""
+    return [F.col("row")[n].alias(n) for n in names if n not in without]
 
 
 def work_path(spark: SparkSession, name: str) -> str:

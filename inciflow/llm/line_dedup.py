@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inciflow.llm.common import HEAVY_SHARE, attach, stored, work_path
+from inciflow.llm.common import HEAVY_SHARE, attach, packed, stored, unpacked, work_path
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,6 +96,8 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
     """`docs` with `kept` (the text without dropped lines), `n_lines`, `n_dropped`; all other columns stay.
 
+    Columns of `docs` with these three names are replaced.
+
     Keys of `min_chars` code points or more that `min_docs` documents hold lose their lines everywhere but in
     the largest doc_id. A null text is one empty line and is kept as null in `text`. Rows with the same doc_id
     are one document; a null doc_id is below all others. Positions are bound to the text, so repeated
@@ -103,7 +105,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     """
     drops = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
     drops = drops.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("drop").alias("_drop"))
-    out = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
+    out = packed(docs, ["doc_id", "text"]).join(drops, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     staying = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
     # one split, bound once: struct(lines, positions)
@@ -111,7 +113,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     kept = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.get(parts, F.lit(0)))
     n_lines = 1 + F.char_length(F.coalesce("text", F.lit(""))) - F.char_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("")))
     n_dropped = F.coalesce(F.size("_drop"), F.lit(0))
-    return out.select(*docs.columns, kept.alias("kept"), n_lines.cast("long").alias("n_lines"), F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"))
+    return out.select(*unpacked(docs.columns, ("kept", "n_lines", "n_dropped")), kept.alias("kept"), n_lines.cast("long").alias("n_lines"), F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"))
 
 
 LINES_SQL = """

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inciflow.llm.common import WORD, number_rows, stored
+from inciflow.llm.common import WORD, number_rows, packed, stored, unpacked
 
 #: Ranges of virtual time up to 1, about where the budget ends; later ones grow with the time. One task orders the rows of a range.
 TIME_RANGES = 4096
@@ -60,9 +60,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     rows = number_rows(rows, ["cell"], order, "before", ["source"], F.col("size"))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("source", "cell").orderBy("before", *order)))
     rows = rows.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    # one row for each time that a document may be taken
-    turns = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    finish = F.when(F.col("size") == 0, F.lit(0.0)).otherwise((F.col("turn") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target"))
+    # one row for each time that a document may be taken; texts without words wait in no queue
+    turns = rows.filter("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    finish = (F.col("turn") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target")
     turns = turns.withColumn("finish", finish)
     late = TIME_RANGES + F.floor(F.log2("finish") * TIME_RANGES / 4)
     turns = turns.withColumn("range", F.when(F.col("finish") < 1, F.floor(F.col("finish") * TIME_RANGES)).otherwise(late).cast("int"))
@@ -71,7 +71,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     left = F.floor(F.col("budget")) - F.col("spent")
     queue = queue.withColumn("take", F.greatest(F.lit(0), F.least(F.col("size"), left)))
     out = queue.groupBy("rank", "cell", "nth", "doc_id", "size", "source_size", "target").agg(F.sum("take").cast("long").alias("taken"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    out = out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.unionByName(rows.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -82,8 +83,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).filter("taken > 0")
     copies = taken.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_n"))
     copies = copies.withColumnRenamed("doc_id", "_d")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    out = packed(docs, ["doc_id"]).join(copies, F.col("doc_id").eqNullSafe(F.col("_d")))
+    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*unpacked(docs.columns))
 
 
 #: The same in DuckDB, over any `documents`.

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import log2
 
@@ -109,7 +109,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.threshold[None, :] - np.asarray(score)[:, None], -500, 500)))
 
 
-def informative(rows: list[np.ndarray], grade: np.ndarray, most: int, least_docs: int = 5) -> np.ndarray:
+def informative(rows: Sequence[np.ndarray], grade: np.ndarray, most: int, least_docs: int = 5) -> np.ndarray:
     """Features with the largest chi-squared over the grades, those above 20 at most `most`."""
     seen = np.zeros((GRADES, DIM), dtype=np.float32)
     for f, g in zip(rows, grade, strict=True):
@@ -124,10 +124,12 @@ def informative(rows: list[np.ndarray], grade: np.ndarray, most: int, least_docs
     return np.sort(best[np.isin(best, ids[chi > 20])])
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, features: int = FEATURES, epochs: int = 40, batch: int = 64, rate: float = 0.3, ridge: float = 1e-5, seed: int = 7) -> OrdinalModel:
+def fit(rows: Sequence[np.ndarray], grade: np.ndarray, features: int = FEATURES, epochs: int = 40, batch: int = 64, rate: float = 0.3, ridge: float = 1e-5, seed: int = 7) -> OrdinalModel:
     """Maximum likelihood by AdaGrad. No rated rows: a model that gives every grade the same chance."""
     index = informative(rows, grade, features) if len(rows) else np.array([], dtype=np.int64)
-    used = [np.searchsorted(index, f[np.isin(f, index)]) for f in rows]
+    place = np.full(DIM, -1, dtype=np.int32)
+    place[index] = np.arange(len(index))
+    used = [x[x >= 0] for x in (place[f] for f in rows)]
     counts = np.bincount(grade, minlength=GRADES) + 1.0 if len(rows) else np.ones(GRADES)
     share = np.cumsum(counts / counts.sum())[:-1]
     low, gap = np.log(share / (1 - share)), None
@@ -161,8 +163,24 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, features: int = FEATURES, epo
     return OrdinalModel(index.astype(np.int32), weight, thresholds())
 
 
-def rated(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of a bounded sample: toxic is 0, else quality + 1. Rows with a null label don't count."""
+class Slices(Sequence):
+    """Feature sets as slices of one array: a view is made when a row is asked for."""
+
+    def __init__(self, column: pa.BinaryArray):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.column[i].as_buffer(), dtype=np.int32)
+
+
+def rated(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[Sequence[np.ndarray], np.ndarray]:
+    """Features and grades of a bounded sample: toxic is 0, else quality + 1. Rows with a null label don't count.
+
+    The rows come in the order of a hash of their ids, so that a fit doesn't depend on how the tables are dealt.
+    """
     grade = F.when(F.col("toxic") > 0, 0).otherwise(F.when(F.col("quality") > 0, 2).otherwise(1))
     some = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", grade.alias("grade"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)  # bounded: it can be broadcast
@@ -171,11 +189,14 @@ def rated(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([as_array(features.of(t)).tobytes() for t in b.column("t").to_pylist()], pa.binary()), b.column("grade")], ["f", "grade"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([as_array(features.of(t)).tobytes() for t in b.column("t").to_pylist()], pa.binary()), b.column("grade")], ["doc_id", "f", "grade"])
 
     # repeated rows of a doc_id could exceed the sample: the limit holds for what comes to the driver too
-    rows = text.mapInArrow(run, "f binary, grade int").limit(2 * sample).collect()
-    return [np.frombuffer(r["f"], dtype=np.int32) for r in rows], np.array([r["grade"] for r in rows], dtype=np.int64)
+    rows = text.select(F.col("doc_id").cast("long").alias("doc_id"), "t", "grade").mapInArrow(run, "doc_id long, f binary, grade int")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "f").limit(2 * sample).select("f", "grade").toArrow().combine_chunks()
+    if not rows.num_rows:
+        return [], np.array([], dtype=np.int64)
+    return Slices(rows.column("f").chunk(0)), rows.column("grade").to_numpy().astype(np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
@@ -183,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """`docs` with expected_grade and tail_probability (that of the best grade); all rows and columns stay.
+    """`docs` with expected_grade and tail_probability (that of the best grade); all rows and other columns stay.
 
     Null and empty texts have a feature of their own and get its grade. An empty table gives no rows.
     """
@@ -191,13 +212,15 @@ def grade_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = model.scorer()
         for b in small_batches(batches):
-            names = [n for n in b.schema.names if n != "_text"]
-            score = np.array([score_of(t) for t in b.column("_text").to_pylist()], dtype=np.float64)
+            # the text comes first, then the columns that stay
+            score = np.array([score_of(t) for t in b.column(0).to_pylist()], dtype=np.float64)
             tails = model.tails(score)
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*names, "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*b.schema.names[1:], "expected_grade", "tail_probability"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(run, f"{fields}, expected_grade double, tail_probability double")
+    stay = [f for f in docs.schema if f.name not in ("expected_grade", "tail_probability")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stay)
+    text = F.coalesce("text", F.lit("")).cast("binary").alias("text for the model")
+    return docs.select(text, *[docs[f.name] for f in stay]).mapInArrow(run, f"{fields}, expected_grade double, tail_probability double")
 
 
 def select_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inciflow.llm.common import HEAVY_SHARE, attach, small_batches, stored
+from inciflow.llm.common import HEAVY_SHARE, attach, packed, small_batches, stored, unpacked
 
 #: Members of a bucket that one task compares with one another; larger buckets are dealt as pairs of chunks.
 CHUNK = 4096
@@ -216,4 +216,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(docs, **options)
     first = found.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").select(*docs.columns)
+    return packed(docs, ["doc_id"]).join(first, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").select(*unpacked(docs.columns))

@@ -13,5 +13,6 @@ NASTY = [
 
 def nasty(spark):
     """`documents` of the rows above, with other columns whose names the operators use too."""
-    rows = [(d, t, "en", None if i % 5 == 0 else f"s{i % 3}", len(t or ""), "x", 1, 2, "k", "c", 0) for i, (d, t) in enumerate(NASTY)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, size int, n int, fp string, cell string, pos int")
+    names = "key size n fp cell pos _d _t _drop _n _turn _text kept n_lines n_dropped drop taken turn component_id row met".split()
+    rows = [(d, t, "en", None if i % 5 == 0 else f"s{i % 3}", len(t or ""), *["x"] * len(names)) for i, (d, t) in enumerate(NASTY)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))

@@ -10,7 +10,7 @@ from tests.conftest import SF
 from tests.llm.fixtures import nasty
 from tests.llm.test_native import BLANK, lower
 from tests.llm.test_packing import whole
-from tests.llm.test_python import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute_kept
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,8 +46,7 @@ def test_stages_do_what_they_say(spark):
     want = {d: "\n".join(x for x in (t or "").split("\n") if frequent.get(lower(x.strip(BLANK)), d) == d) for d, t, *_ in good}
     assert {d: t for d, t, *_ in lined} == want and all(n == len(t) for _, t, _, n in lined)
     # near duplicates
-    prints = [(d, brute_fingerprint(t)) for d, t, *_ in lined]
-    assert sorted(d for d, *_ in unique) == sorted(set(brute_components(prints, 3)))
+    assert sorted(d for d, *_ in unique) == brute_kept([(d, t) for d, t, *_ in lined])
     # the mix: words by source near their targets
     size = Counter()
     taken = Counter()

@@ -230,3 +230,25 @@ def test_quality_on_odd_rows(spark):
     assert len(graded) == len(NASTY) and all(0 <= r["tail_probability"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in graded)
     assert quality.select_good(docs, labels.limit(0)).select(docs.columns).count() == len(NASTY)
     assert quality.select_good(docs.limit(0), labels).count() == 0
+
+
+def test_repeats_of_one_id_do_not_push_out_other_neighbours(spark):
+    # 40 rows of one id and nine other ids share a vector: queries of that id must find the others
+    rows = [(0, [1.0, 0.0])] * 40 + [(i, [1.0, 0.0]) for i in range(1, 10)] + [(20 + i, [0.5, 0.1 * i]) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(vectors, k=5).filter("query_id = 0").select("rank", "vec_id").collect()
+    assert sorted({(r["rank"], r["vec_id"]) for r in found}) == [(i, i) for i in range(1, 6)]
+    other = ann.search(vectors, k=5).filter("query_id = 20").select("rank", "vec_id").collect()
+    assert len(other) == 5 and {r["vec_id"] for r in other} == {0}
+
+
+def test_fit_does_not_depend_on_how_rows_are_dealt(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = (quality.train(docs.repartition(n), labels.repartition(n)) for n in (3, 11))
+    assert (a.weight == b.weight).all() and (a.threshold == b.threshold).all() and len(a.index)
+
+
+def test_grades_stand_columns_of_the_same_name(spark):
+    docs = spark.createDataFrame([(1, "one two", "x", "y", "z")], "doc_id long, text string, _text string, expected_grade string, tail_probability string")
+    got = quality.grade_documents(docs, quality.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert got.columns == ["doc_id", "text", "_text", "expected_grade", "tail_probability"] and got.first()["_text"] == "x"
