@@ -318,6 +318,7 @@ SIGNAL_COLUMNS = [
     "s_allergy_hits", "s_avoid_hits",
 ]
 PAIR = ["profile_id", "list_id"]
+LINE = ["list_id", "position", "display_name", "ingredient_id"]
 
 
 def clamp_score(units: Column, unit: int = UNIT) -> Column:
@@ -530,21 +531,52 @@ def profile_signature(context: DataFrame) -> DataFrame:
     return context.withColumn("signature", F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256))
 
 
-def score_all(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Scores of every request, worked out once per distinct (signature, list).
+def contribution_table(met: DataFrame, contexts: DataFrame, dim: DataFrame) -> DataFrame:
+    """penalty and net of each distinct (signature, ingredient_id, w) in `met`: whole numbers, scored once.
 
-    Many users share a signature, so popular lists are scored once per way of
-    looking at them instead of once per user.
+    contexts: signature and c_* columns. Names that are unknown need no table: they cost the same for everybody.
     """
-    context = profile_signature(profile_context(profiles))
-    asked = requests.join(context.select("profile_id", "signature"), "profile_id")
-    distinct = asked.select(F.col("signature").alias("profile_id"), "list_id").distinct()
-    one = context.groupBy("signature").agg(F.first(F.struct(*[c for c in context.columns if c.startswith("c_")])).alias("c"))
-    one = one.select(F.col("signature").alias("profile_id"), "c.*")
-    rows = position_weights(lines, "display_name").join(distinct, "list_id").join(one, "profile_id")
     sig = ingredient_signals(dim).select("ingredient_id", "risk_level", "irritation", "comedogenic", *SIGNAL_COLUMNS)
-    scores = pair_scores(score_lines(rows.join(sig, "ingredient_id", "left"))).withColumnRenamed("profile_id", "signature")
-    return asked.distinct().join(scores, ["signature", "list_id"]).drop("signature")
+    rows = met.distinct().join(contexts, "signature").join(sig, "ingredient_id")
+    return score_lines(rows.withColumn("display_name", F.lit(""))).select("signature", "ingredient_id", "w", "penalty", "net")
+
+
+def contributions(lines: DataFrame, asked: DataFrame, dim: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What every line adds for every way of looking at its list, and who looks that way.
+
+    Returns rows (signature, list_id, position, display_name, ingredient_id, penalty, net), one for each line of a
+    distinct (signature, list), and (profile_id, list_id, signature) for each distinct request. A profile that isn't
+    stored has no wishes. Wide columns of ingredients and profiles meet in the table of distinct contributions only;
+    lines join it by equality.
+    """
+    asked = asked.select(*PAIR).distinct()
+    wishes = profile_context(asked.select("profile_id").distinct().join(profiles, "profile_id", "left"))
+    whole = F.struct(*[c for c in wishes.columns if c.startswith("c_")])
+    # an aggregate keeps the long expressions of a profile out of the joins on its signature
+    context = profile_signature(wishes.groupBy("profile_id").agg(F.first(whole).alias("c")))
+    context = context.groupBy("profile_id").agg(F.first("signature").alias("signature"), F.first("c").alias("c"))
+    one = context.groupBy("signature").agg(F.first("c").alias("c")).select("signature", "c.*")
+    asked = asked.join(context.select("profile_id", "signature"), "profile_id")
+    narrow = position_weights(lines, "display_name").select("list_id", "position", "display_name", "ingredient_id", "w")
+    rows = narrow.join(asked.select("signature", "list_id").distinct(), "list_id")
+    key = ["signature", "ingredient_id", "w"]
+    table = contribution_table(rows.where("ingredient_id IS NOT NULL").select(*key), one, dim)
+    rows = rows.join(table, key, "left")
+    penalty, net = F.coalesce("penalty", (F.col("w") * 2500).cast("bigint")), F.coalesce("net", F.lit(0).cast("bigint"))
+    return rows.select("signature", "list_id", "position", "display_name", "ingredient_id", penalty.alias("penalty"), net.alias("net")), asked
+
+
+def signature_scores(rows: DataFrame) -> DataFrame:
+    """Safety and suitability of each (signature, list): one map-side combined sum."""
+    scores = pair_scores(rows.withColumnRenamed("signature", "profile_id"))
+    return scores.withColumnRenamed("profile_id", "signature")
+
+
+def score_all(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Scores of every request of a stored profile, summed once per distinct (signature, list) over `contributions`."""
+    asked = requests.join(profiles.select("profile_id"), "profile_id", "left_semi")
+    rows, asked = contributions(lines, asked, dim, profiles)
+    return asked.join(signature_scores(rows), ["signature", "list_id"]).drop("signature")
 
 
 def quick_messages(rows: DataFrame, reasons: str, k: int) -> DataFrame:

@@ -266,4 +266,4 @@ OPEN_REQUESTS_SQL = REQUESTS_SQL + " UNION ALL SELECT c_custkey, -c_custkey FROM
 LISTINGS_SQL = (
     "SELECT *, " + NOISY_TITLE + " AS noisy FROM (SELECT *, " + LISTING_TITLE + " AS title FROM part)"
 )
-PAGES_SQL = f"SELECT page_id, url, html || {page_blocks()} AS html, p_brand, p_name, p_type FROM pages JOIN part ON p_partkey = page_id % (SELECT count(*) FROM part)"
+PAGES_SQL = f"SELECT page_id, url, html || {page_blocks()} AS html, p_brand, p_name, p_type FROM (SELECT *, page_id % (SELECT count(*) FROM part) AS part_key FROM pages) JOIN part ON p_partkey = part_key"

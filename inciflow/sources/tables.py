@@ -25,11 +25,13 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt by a key before per-row work that costs far more than moving them.
+    """A small table dealt over all cores before per-row work that costs far more than moving it.
 
-    The key must be unique per row (a page or document id, not a host), so that no source can fill one task.
+    A table whose scan has a split for every core stays as it is: large corpora are never shuffled here. The key
+    must be unique per row (a page or document id, not a host), so that no source can fill one task.
     """
-    return df if df.isStreaming else df.repartition(key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
