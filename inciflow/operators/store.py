@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -114,20 +114,43 @@ def verified_facts(resolutions: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     return formula, source, verification
 
 
-def append_verified(resolutions: DataFrame, path: str) -> None:
-    """Append the facts that are not stored yet, by id: a retry adds nothing."""
-    spark = resolutions.sparkSession
+# ------------------------------------------------------------------ batches that appear at once
+def commit_batch(path: str, batch: int, tables: dict[str, DataFrame], partition_by: Sequence[str] = ()) -> None:
+    """Write the tables of a batch, then one manifest row that makes all of them visible.
+
+    Each table goes to a folder named by the batch, written over, so a batch that is repeated replaces itself. What
+    a writer that died left behind has no manifest row and is never read by `committed`.
+    """
+    for name, df in tables.items():
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/{name}/batch={batch}")
+    spark = next(iter(tables.values())).sparkSession
+    done = spark.range(1).select(F.lit(sorted(tables)).alias("tables"))
+    done.write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
+
+
+def committed(spark: SparkSession, path: str, name: str, without: int | None = None) -> DataFrame | None:
+    """Rows of all committed batches (or all but one); None before the first. Batches are pruned by their folders."""
+    try:
+        done = spark.read.parquet(f"{path}/manifest").where(F.array_contains("tables", name)).select("batch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    batches = sorted(r["batch"] for r in done.collect() if r["batch"] != without)  # one short row for each batch
+    if not batches:
+        return None
+    return spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/batch={b}" for b in batches])
+
+
+def append_verified(resolutions: DataFrame, path: str, batch: int) -> None:
+    """Commit the facts of a batch that no other batch holds, by id; its three tables appear together."""
+    spark, tables = resolutions.sparkSession, {}
     for name, df in zip(("formula", "source", "verification"), verified_facts(resolutions)):
-        key, place = f"{name}_id", f"{path}/{name}"
+        key = f"{name}_id"
         df = first_per_key(df, [key], [F.col(c) for c in df.columns])
-        try:
-            stored = spark.read.parquet(place).select(key)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            df = df.join(stored, key, "left_anti")
-        df.write.mode("append").parquet(place)
+        stored = committed(spark, path, name, without=batch)
+        tables[name] = df if stored is None else df.join(stored.select(key), key, "left_anti")
+    commit_batch(path, batch, tables)
 
 
 def attempt_rows(resolutions: DataFrame) -> DataFrame:
@@ -169,8 +192,9 @@ def attempt_rows(resolutions: DataFrame) -> DataFrame:
     return first_per_key(steps.unionByName(tried), key, [F.col("o")])
 
 
-def append_attempts(rows: DataFrame, path: str) -> None:
-    rows.drop("o").write.mode("append").partitionBy("stage").parquet(path)
+def append_attempts(rows: DataFrame, path: str, batch: int) -> None:
+    """Commit the attempt log of a batch; a repeated batch replaces its rows."""
+    commit_batch(path, batch, {"attempt": rows.drop("o")}, ["stage"])
 
 
 def attempts_for(attempts: DataFrame, fingerprints: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import store as KB
 from ..operators import verify as V
 from ..sources import bindings as B
 from ..sources.tables import scan
+from ..streaming.jobs import work_dir
 from . import duck as D
 from . import sql_resolve as Q
 from . import text_queries as TQ
@@ -134,6 +135,35 @@ def a5_verification_facts(spark, sf):
     return KB.verified_facts(resolutions(spark, sf))[2]
 
 
+def stored_facts(spark, sf):
+    """Three batches of resolutions, one of them written twice, and a writer that died before its manifest row."""
+    path = work_dir(spark, "facts")
+    resolutions(spark, sf).write.parquet(f"{path}/in")
+    res = spark.read.parquet(f"{path}/in")
+    part = F.pmod(F.xxhash64("fingerprint"), F.lit(3))
+    for batch in (0, 1, 1, 2):
+        # every batch also brings facts of the one before: these are stored already
+        KB.append_verified(res.where((part == batch) | (part == batch - 1)), path, batch)
+    lost = KB.verified_facts(res.withColumn("verified_at", F.lit("never")))[0]
+    lost.write.parquet(f"{path}/formula/batch=3")
+    return path
+
+
+@query(
+    "a5_append_verified",
+    ctes(
+        "SELECT 'formula' AS kind, formula_id AS id, fingerprint FROM facts UNION ALL SELECT DISTINCT 'source', source_id, fingerprint FROM facts "
+        "UNION ALL SELECT DISTINCT 'verification', verification_id, NULL FROM facts",
+        **RESO,
+    ),
+)
+def a5_append_verified(spark, sf):
+    path = stored_facts(spark, sf)
+    kinds = {"formula": F.col("fingerprint"), "source": F.col("fingerprint"), "verification": F.lit(None).cast("string")}
+    parts = [KB.committed(spark, path, k).select(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("id"), f.alias("fingerprint")) for k, f in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _NM = "CASE WHEN p_partkey % 3 = 0 THEN p_type || ' ' || p_name ELSE p_name END"
 
 
@@ -465,6 +495,16 @@ def a8_attempt_log(spark, sf):
     return attempt_log(spark, sf).groupBy("stage", "status").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@query("a8_append_attempts", f"SELECT fingerprint, stage, url, website, method, status, reason, candidate_count FROM ({_LOG})")
+def a8_append_attempts(spark, sf):
+    """The log in four batches, each written twice, and read back."""
+    path, log = work_dir(spark, "attempts"), attempt_log(spark, sf)
+    for batch in range(4):
+        for _ in range(2):
+            KB.append_attempts(log.where(F.pmod(F.xxhash64("fingerprint"), F.lit(4)) == batch), path, batch)
+    return KB.committed(spark, path, "attempt").select("fingerprint", "stage", "url", "website", "method", "status", "reason", "candidate_count")
+
+
 @query(
     "g10_attempt_history",
     "SELECT user_id AS fingerprint, event_id AS attempt_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS seq FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 20)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import bindings as B
-from ..sources.tables import event_time
+from ..sources.tables import event_time, file_stream
 from ..streaming import jobs as J
 from . import duck as D
 from . import sql_resolve as Q
@@ -82,16 +82,36 @@ def j2_review_decisions(spark, sf):
     return J.review_batch(subs, dec)
 
 
-@query(
-    "j2_review_stream",
-    "SELECT submission_id, decision AS review_status FROM (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _DEC.items()) + " FROM labels) QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY ord DESC) = 1",
+_REVIEWS_SQL = (
+    "SELECT d.submission_id, CASE WHEN s.submission_id IS NULL THEN 'NOT_FOUND' ELSE decision END AS review_status, CASE WHEN s.submission_id IS NOT NULL THEN coalesce(nullif(notes, ''), CASE decision WHEN 'APPROVED' THEN 'Approved by reviewer.' ELSE 'Rejected by reviewer.' END) END AS review_notes FROM "
+    "(SELECT * FROM (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _DEC.items()) + " FROM labels) QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY ord DESC) = 1) d LEFT JOIN (SELECT DISTINCT doc_id AS submission_id FROM documents) s USING (submission_id)"
 )
+
+
+def _in_parts(df, path, n):
+    """The rows as a stream of n files, one for each micro-batch."""
+    df.repartition(n).write.parquet(path)
+    return file_stream(df.sparkSession, path, df.schema)
+
+
+@query("j2_review_stream", _REVIEWS_SQL)
 def j2_review_stream(spark, sf):
+    """Submissions and decisions in several micro-batches, in any order; the last state of each decided id."""
     base = J.work_dir(spark, "reviews")
-    dec = _stream(spark, sf, "labels").select(*[F.expr(v).alias(k) for k, v in _DEC.items()])
-    J.run_to_end(J.review_stream(dec), f"{base}/checkpoint", path=f"{base}/states")
+    moment = lambda c: F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col(c))
+    decided = B.table(spark, sf, "labels").select(*[F.expr(v).alias(k) for k, v in _DEC.items()]).withColumn("ts", moment("ord"))
+    sent = B.table(spark, sf, "documents").select(F.col("doc_id").alias("submission_id"), moment("doc_id").alias("ts"))
+    # the clock strikes in the end, past the wait of the last decision, and once more so that timers end
+    late = decided.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"))
+    still = late.where("ts IS NULL")
+    sources = [_in_parts(x, f"{base}/{n}", k) for x, n, k in ((sent, "sent", 3), (decided, "decided", 4), (still, "still", 1))]
+    J.run_to_end(J.review_stream(*sources), f"{base}/checkpoint", path=f"{base}/states")
+    for _ in range(2):
+        late.write.mode("append").parquet(f"{base}/still")
+    J.run_to_end(J.review_stream(*sources), f"{base}/checkpoint", path=f"{base}/states")
     states = spark.read.parquet(f"{base}/states")
-    return states.groupBy("submission_id").agg(F.max_by("review_status", "ord").alias("review_status"))
+    last = states.groupBy("submission_id").agg(F.max_by(F.struct("review_status", "review_notes"), F.struct("seen", "ord")).alias("l"))
+    return last.select("submission_id", "l.*")
 
 
 # ------------------------------------------------------------------ J3

@@ -160,25 +160,58 @@ def review_batch(submissions: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-REVIEW_OUT = "submission_id bigint, ord bigint, review_status string, review_notes string"
+REVIEW_OUT = "submission_id bigint, ord bigint, seen int, review_status string, review_notes string"
+#: The key of rows that only say how late it is; no submission has it.
+CLOCK = -(1 << 63)
+REVIEW_STATE = "known boolean, ord bigint, review_status string, review_notes string"
 
 
-def review_stream(decisions: DataFrame) -> DataFrame:
-    """Keyed state: emits the state of a submission whenever a newer decision arrives."""
+def review_stream(submissions: DataFrame, decisions: DataFrame, clock: DataFrame, wait_hours: int = 24) -> DataFrame:
+    """Two inputs in one keyed state: the newest review state of a submission, whenever it changes.
+
+    submissions: submission_id, ts. decisions: submission_id, ts, ord, decision, notes. clock: ts, rows that say how
+    late it is when no input does. Rows may be `wait_hours` of event time late. A decision whose submission has not
+    come by then is NOT_FOUND (`seen` 0); should the submission come later still, its state follows (`seen` 1). The
+    state of a key is its newest decision, however many there are.
+    """
+    none = F.lit(None)
+    blank = {"ord": none.cast("bigint"), "decision": none.cast("string"), "notes": none.cast("string")}
+    parts = [
+        submissions.select("submission_id", "ts", *[v.alias(k) for k, v in blank.items()], F.lit("submission").alias("kind")),
+        decisions.select("submission_id", "ts", "ord", "decision", "notes", F.lit("decision").alias("kind")),
+        clock.select(F.lit(CLOCK).alias("submission_id"), "ts", *[v.alias(k) for k, v in blank.items()], F.lit("clock").alias("kind")),
+    ]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).withWatermark("ts", f"{wait_hours} hours").where("submission_id IS NOT NULL")
+    columns = ["submission_id", "ord", "seen", "review_status", "review_notes"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else (-1, "", "")
+        known, order, status, notes = state.get if state.exists else (False, None, None, None)
+        if state.hasTimedOut:
+            state.update((known, order, status, notes))  # a late submission can still answer
+            yield pd.DataFrame([(key[0], order, 0, "NOT_FOUND", None)], columns=columns)
+            return
+        changed, waits_until = False, None
+        if key[0] == CLOCK:
+            return
         for pdf in batches:
-            top = pdf.loc[pdf["ord"].idxmax()]
-            if top["ord"] > kept[0]:
-                status = "APPROVED" if top["decision"] == "APPROVED" else "REJECTED"
-                kept = (int(top["ord"]), status, top["notes"] or ("Approved by reviewer." if status == "APPROVED" else "Rejected by reviewer."))
-        state.update(kept)
-        yield pd.DataFrame([(key[0], *kept)], columns=["submission_id", "ord", "review_status", "review_notes"])
-
-    return decisions.groupBy("submission_id").applyInPandasWithState(
-        step, REVIEW_OUT, "ord bigint, review_status string, review_notes string", "append", GroupStateTimeout.NoTimeout
-    )
+            if not known and (pdf["kind"] == "submission").any():
+                known, changed = True, order is not None
+            made = pdf[pdf["kind"] == "decision"]
+            if len(made):
+                top = made.loc[made["ord"].idxmax()]
+                if order is None or top["ord"] > order:
+                    order, changed = int(top["ord"]), True
+                    status = "APPROVED" if top["decision"] == "APPROVED" else "REJECTED"
+                    notes = top["notes"] or ("Approved by reviewer." if status == "APPROVED" else "Rejected by reviewer.")
+                    waits_until = top["ts"] + pd.Timedelta(hours=wait_hours)
+        state.update((known, order, status, notes))
+        if known and changed and order is not None:
+            yield pd.DataFrame([(key[0], order, 1, status, notes)], columns=columns)
+        elif not known and waits_until is not None:
+            expires = int(waits_until.timestamp() * 1000)
+            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+
+    return both.groupBy("submission_id").applyInPandasWithState(step, REVIEW_OUT, REVIEW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------------ J3

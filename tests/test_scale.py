@@ -78,13 +78,20 @@ def test_append_facts_round_trip(spark, tmp_path):
     from inciflow.plans.store_queries import attempt_log, resolutions
 
     res = resolutions(spark, SF)
+    facts = str(tmp_path / "facts")
+    assert KB.committed(spark, facts, "formula") is None
+    for batch in (0, 0, 1):
+        KB.append_verified(res, facts, batch)
+    formula = KB.committed(spark, facts, "formula")
+    assert 0 < formula.count() == formula.select("formula_id").distinct().count() == KB.verified_facts(res)[0].count()
+    # what a writer left without a manifest row is not read
+    KB.verified_facts(res)[0].write.parquet(f"{facts}/formula/batch=7")
+    assert KB.committed(spark, facts, "formula").count() == formula.count()
     for _ in range(2):
-        KB.append_verified(res, str(tmp_path / "facts"))
-    formula = spark.read.parquet(str(tmp_path / "facts" / "formula"))
-    assert 0 < formula.count() == formula.select("formula_id").distinct().count()
-    KB.append_attempts(attempt_log(spark, SF), str(tmp_path / "log"))
-    log = spark.read.parquet(str(tmp_path / "log"))
-    assert "PartitionFilters: [isnotnull(stage" in plan(log.where("stage = 'view'"))
+        KB.append_attempts(attempt_log(spark, SF), str(tmp_path / "log"), 5)
+    log = KB.committed(spark, str(tmp_path / "log"), "attempt")
+    assert log.count() == attempt_log(spark, SF).count()
+    assert "isnotnull(stage" in plan(log.where("stage = 'view'")).split("PartitionFilters: ")[1].split("\n")[0]
 
 
 def test_learning_second_page_is_a_hit(spark, starter):
