@@ -8,13 +8,14 @@ are encoded and aligned once per worker and their groups are joined into those o
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
@@ -22,21 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inciflow.llm.common import attach, small_batches, stored
+from inciflow.llm.common import small_batches, stored
 
 #: Aligned words in each of the two generations that a worker remembers, and the longest word that it remembers.
 CACHE_WORDS, CACHE_LENGTH = 250_000, 64
 #: How byte-level models of this kind cut a text (a fixed value of theirs).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A pair in more than a 50,000th of all rows is "heavy"; there are 50,000 of them at most, so they can be broadcast.
-HEAVY_PAIRS = 50_000
+#: A pair in more than a 200,000th of all links is "heavy"; there are 200,000 of them at most, so they can be broadcast.
+HEAVY_PAIRS = 200_000
 #: Both sides end a token where a single space stands between characters that are no white space.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: An id pair is one number: A's id times this, plus B's.
 PAIR = 1 << 31
 
 
-def cut_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
+def cut_groups(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int, int, int]]:
     """Groups (a0, a1, b0, b1) of token ranges between shared cuts, in order. Both lists rise to the same last end."""
     found, open_ = [], [(0, len(ends_a), 0, len(ends_b))] if ends_a else []
     while open_:
@@ -57,7 +58,7 @@ def cut_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int
     return found
 
 
-def overlaps(group: tuple[int, int, int, int], ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
+def overlaps(group: tuple[int, int, int, int], ends_a: Sequence[int], ends_b: Sequence[int]) -> Iterator[tuple[int, int]]:
     """Pairs of token positions of one group whose byte ranges overlap."""
     a, a1, b, b1 = group
     while a < a1 and b < b1:
@@ -69,6 +70,13 @@ def overlaps(group: tuple[int, int, int, int], ends_a: list[int], ends_b: list[i
             a += ends_a[a] == ends_b[b - 1]
 
 
+@lru_cache(maxsize=100_000)
+def shape(ends_a: tuple[int, ...], ends_b: tuple[int, ...]) -> tuple[list, list]:
+    """Groups and overlapping pairs of token positions; many words have the same token ends."""
+    groups = cut_groups(ends_a, ends_b)
+    return groups, [p for g in groups for p in overlaps(g, ends_a, ends_b)]
+
+
 class Aligner:
     """Aligns texts by their words; `words` remembers (n_a, n_b, n_groups, pairs, groups) or None where bytes differ."""
 
@@ -87,6 +95,7 @@ class Aligner:
         self.bytes_b = {i: self._bytes_b(i) for i in range(self.b.get_piece_size())}
         self.long_a, self.short_a = lambda text: self.a.encode(text, add_special_tokens=False).ids, self._ranks()
         self.words, self.older = {}, {}
+        gc.set_threshold(200_000, 20, 100)  # hundreds of thousands of remembered tuples are no cycles
 
     def _bytes_b(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -113,9 +122,9 @@ class Aligner:
             return 1, len(b), 1, tuple([a[0] * PAIR + j for j in b]), f"{a[0]}|{str(b)[1:-1].replace(' ', '')}"
         if len(b) == 1:
             return len(a), 1, 1, tuple([i * PAIR + b[0] for i in a]), f"{str(a)[1:-1].replace(' ', '')}|{b[0]}"
-        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-        groups = cut_groups(ends_a, ends_b)
-        pairs = tuple([a[i] * PAIR + b[j] for g in groups for i, j in overlaps(g, ends_a, ends_b)])
+        ends_a, ends_b = tuple(accumulate(map(len, parts_a))), tuple(accumulate(map(len, parts_b)))
+        groups, met = (shape if len(text) <= CACHE_LENGTH else shape.__wrapped__)(ends_a, ends_b)
+        pairs = tuple([a[i] * PAIR + b[j] for i, j in met])
         shown = [f"{str(a[a0:a1])[1:-1]}|{str(b[b0:b1])[1:-1]}" for a0, a1, b0, b1 in groups]
         return len(a), len(b), len(groups), pairs, ";".join(shown).replace(" ", "")
 
@@ -201,13 +210,15 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     Null, empty and unlike texts give zeros and ''. Each row counts as a document, also where a doc_id is
     repeated or null. An empty table gives no rows; other columns are ignored. Counts of id pairs are joined to
-    the rows' distinct pairs: the at most 50,000 heaviest pairs by broadcast, all others by a shuffle.
+    the rows' distinct pairs: the at most 200,000 heaviest pairs by broadcast, all others by a shuffle.
     """
     rows = stored(aligned_texts(docs, path_a, path_b).withColumn("row", F.monotonically_increasing_id()), "aligned")
     counts = stored(pair_counts(rows), "pairs")
     limit = (rows.agg(F.sum(F.size("pairs"))).first()[0] or 0) / HEAVY_PAIRS
-    links = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("link")).select("row", "link.pairs", "link.times").withColumnRenamed("pairs", "pair")
-    met = attach(links, counts, ["pair"], "n", limit, ["row"])
+    links = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("link")).select("row", F.col("link.pairs").alias("pair"), F.col("link.times").alias("times"))
+    # heavy pairs are summed where their rows are; only the others are shuffled
+    heavy, light = F.broadcast(counts.filter(F.col("n") > limit)), counts.filter(F.col("n") <= limit)
+    met = links.join(heavy, "pair").unionByName(links.join(heavy, "pair", "left_anti").join(light, "pair"))
     sums = met.groupBy("row").agg(F.sum("times").alias("n_links"), F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
     out = rows.join(sums, "row", "left")
     none = F.lit(0).cast("long")

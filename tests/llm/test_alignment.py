@@ -110,7 +110,7 @@ def brute(aligner, rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("heavy", [50_000, 20])
+@pytest.mark.parametrize("heavy", [200_000, 20])
 def test_counts_of_the_corpus(aligner, spark, monkeypatch, heavy):
     monkeypatch.setattr(alignment, "HEAVY_PAIRS", heavy)
     rows = NASTY + [(40 + i, t) for i, t in enumerate(ODD)]
