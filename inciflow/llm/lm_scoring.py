@@ -100,6 +100,10 @@ class Vocabulary:
     def classes(self) -> int:
         return self.shortlist + CLASSES
 
+    def class_of_code(self) -> np.ndarray:
+        """The class of each code; behind the frequent tokens stands one code per class of the rest."""
+        return np.concatenate([self.cls, self.shortlist + np.arange(CLASSES)])
+
     def noise(self) -> np.ndarray:
         """Smoothed unigram probabilities of the classes."""
         short = np.maximum(10.0 ** self.log_count[: self.shortlist] - 0.5, 0)
@@ -133,7 +137,6 @@ class Coder(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__(vocabulary.code)
         self.base = len(vocabulary.code)
-        self.cls = np.concatenate([vocabulary.cls, vocabulary.shortlist + np.arange(CLASSES)])
 
     def __missing__(self, token: bytes) -> int:
         return self.base + class_of_rest(token)
@@ -235,15 +238,47 @@ class Trainer:
             self.step(before, some % base, times[order[at : at + BATCH]])
 
 
-def train_round(docs: DataFrame, voc: Vocabulary, start: Parameters, rate: float) -> Parameters:
+@dataclass(frozen=True)
+class Coded:
+    """The rows of `coded`."""
+
+    rows: DataFrame
+
+
+def coded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
+    """row_id, doc_id, held_out, codes (little-endian 32-bit numbers), rare, times: each text tokenised once for all passes.
+
+    `rare` are the distinct tokens of the text outside the frequent ones, `times` how often they stand there.
+    """
+    names = ["row_id", "doc_id", "held_out", "codes", "rare", "times"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, number = Coder(voc), TaskContext.get().partitionId() << 33
+        for b in small_batches(batches):
+            out = [[] for _ in names]
+            for doc_id, held, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = tokens(text)
+                codes = coder.codes(words)
+                rare = Counter([words[j] for j in np.flatnonzero(codes >= coder.base).tolist()])
+                for col, v in zip(out, (number, doc_id, held, codes.astype("<i4").tobytes(), list(rare), list(rare.values())), strict=True):
+                    col.append(v)
+                number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+
+    return prepared(docs).mapInArrow(run, "row_id long, doc_id long, held_out boolean, codes binary, rare array<binary>, times array<long>")
+
+
+def train_round(docs: DataFrame | Coded, voc: Vocabulary, start: Parameters, rate: float) -> Parameters:
     """One pass over all training documents; the mean of the partitions' parameters, weighted by their tokens."""
-    noise, classes = voc.noise(), voc.classes
+    texts = docs.rows if isinstance(docs, Coded) else coded(docs, voc)
+    noise, classes, cls = voc.noise(), voc.classes, voc.class_of_code()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, trainer, seen = Coder(voc), Trainer(start, noise, rate, 1 + TaskContext.get().partitionId()), 0
+        trainer, seen = Trainer(start, noise, rate, 1 + TaskContext.get().partitionId()), 0
         ids, held = [], 0
         for b in small_batches(batches):
-            ids += [coder.cls[coder.codes(tokens(t))] for t in b.column(0).to_pylist()]
+            ids += [cls[np.frombuffer(x, "<i4")] for x in b.column(0).to_pylist()]
             held = sum(map(len, ids))
             if held > TRAINED_TOKENS:
                 trainer.learn(ids)
@@ -255,7 +290,7 @@ def train_round(docs: DataFrame, voc: Vocabulary, start: Parameters, rate: float
             flat = trainer.p.flat().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["i", "v", "w"])
 
-    parts = prepared(docs).filter(~F.col("held_out")).select("t").mapInArrow(run, "i int, v double, w double")
+    parts = texts.filter(~F.col("held_out")).select("codes").mapInArrow(run, "i int, v double, w double")
     rows = parts.groupBy("i").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).select("i", (F.col("v") / F.col("w")).alias("v")).collect()
     if not rows:
         return start
@@ -282,57 +317,41 @@ def class_log10(p: Parameters, context: np.ndarray, target: np.ndarray) -> np.nd
     return out / np.log(10)
 
 
-def partial_scores(docs: DataFrame, voc: Vocabulary, p: Parameters) -> DataFrame:
-    """Rows (row_id, doc_id, held_out, n_tokens, known, base, score, token, n).
-
-    A row per document has what memory tells; a row per rare token of it waits for the token's count. The former's
-    token is made of a space and the row's number: no word is, and so these rows are dealt evenly.
-    """
-    names = ["row_id", "doc_id", "held_out", "n_tokens", "known", "base", "score", "token", "n"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+def partial_scores(texts: DataFrame, voc: Vocabulary, p: Parameters) -> DataFrame:
+    """row_id, doc_id, held_out, n_tokens, known, base, score of the rows of `coded`, without the counts of rare tokens."""
+    names = ["row_id", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     single = Parameters(p.r.astype(np.float32), p.m.astype(np.float32), p.b.astype(np.float32))
     all_log = float(np.log10(voc.total + 0.5 * (voc.distinct + 1)))
+    class_of, frequent, begin = voc.class_of_code(), len(voc.code), voc.classes
+    log_count = np.concatenate([voc.log_count, np.zeros(CLASSES)])
+    inside = -np.log10(voc.class_total + 0.5 * (voc.class_distinct + 1))
+    within = np.where(class_of < voc.shortlist, 0.0, log_count + inside[np.maximum(class_of - voc.shortlist, 0)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, number = Coder(voc), TaskContext.get().partitionId() << 33
-        log_count = np.concatenate([voc.log_count, np.zeros(CLASSES)])
-        inside = -np.log10(voc.class_total + 0.5 * (voc.class_distinct + 1))
-        within = np.where(coder.cls < voc.shortlist, 0.0, log_count + inside[np.maximum(coder.cls - voc.shortlist, 0)])
-        known = np.arange(len(log_count)) < coder.base
-
         def solve(rows):
-            nonlocal number
-            words = [tokens(t) for _, _, t in rows]
-            codes = [coder.codes(w) for w in words]
+            codes = [np.frombuffer(c, "<i4") for _, _, _, c in rows]
             flat = np.concatenate(codes)
-            cls = coder.cls[flat]
+            cls = class_of[flat]
             at = np.cumsum([0, *map(len, codes)])
-            logs = class_log10(single, np.concatenate([contexts(coder.cls[c], voc.classes) for c in codes]), cls)
-            sums = [np.add.reduceat(x, at[:-1]) for x in (known[flat].astype(np.int64), log_count[flat], logs + within[flat])]
-            out = [[] for _ in names]
-            for i, ((doc_id, held, _), w, c) in enumerate(zip(rows, words, codes, strict=True)):
-                head = (number, doc_id, held, len(w), int(sums[0][i]), float(sums[1][i]) - len(w) * all_log, float(sums[2][i]), b" %d" % number, 0)
-                rare = Counter([w[j] for j in np.flatnonzero(c >= coder.base).tolist()])
-                for col, v in zip(out, head, strict=True):
-                    col.append(v)
-                m = len(rare)
-                for col, v in zip(out, ([number] * m, [None] * m, [None] * m, [0] * m, [0] * m, [0.0] * m, [0.0] * m, rare.keys(), rare.values()), strict=True):
-                    col.extend(v)
-                number += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            logs = class_log10(single, np.concatenate([contexts(class_of[c], begin) for c in codes]), cls)
+            known, base, score = (np.add.reduceat(x, at[:-1]) for x in ((flat < frequent).astype(np.int64), log_count[flat], logs + within[flat]))
+            size = np.diff(at)
+            heads = [list(c) for c in list(zip(*rows, strict=True))[:3]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*heads, size, known, base - size * all_log, score], types, strict=True)], names)
 
         for b in small_batches(batches, 4096):
             held, size = [], 0
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.append(row)
-                size += len(row[2]) // 6 + 1
+                size += len(row[3]) // 4
                 if size > SCORED_TOKENS:
                     yield solve(held)
                     held, size = [], 0
             if held:
                 yield solve(held)
 
-    return prepared(docs).mapInArrow(run, "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, token binary, n long")
+    return texts.select("row_id", "doc_id", "held_out", "codes").mapInArrow(run, "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
 
 
 def score_documents(docs: DataFrame, rounds: int = 2, rate: float = 0.3) -> DataFrame:
@@ -344,15 +363,19 @@ def score_documents(docs: DataFrame, rounds: int = 2, rate: float = 0.3) -> Data
     """
     counts = stored(token_counts(docs), "lm-counts")
     voc = vocabulary(counts)
+    texts = stored(coded(docs, voc), "lm-codes")
     p = Parameters.start(voc.noise())
     for i in range(rounds if voc.total else 0):
-        p = train_round(docs, voc, p, rate / (1 + i))
-    parts = partial_scores(docs, voc, p)
-    met = parts.join(counts.filter(F.col("c") * FREQUENT < voc.total), "token", "left")
-    log = F.when(F.col("n") > 0, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(0.0)
-    found = met.groupBy("row_id").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + log).alias("base_score"), F.sum(F.col("score") + log).alias("score"),
+        p = train_round(Coded(texts), voc, p, rate / (1 + i))
+    rare = texts.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row_id", F.col("x.rare").alias("token"), F.col("x.times").alias("n"))
+    met = rare.join(counts.filter(F.col("c") * FREQUENT < voc.total), "token", "left")
+    sums = met.groupBy("row_id").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log"),
+    )
+    log = F.coalesce("log", F.lit(0.0))
+    found = partial_scores(texts, voc, p).join(sums, "row_id", "left")
+    return found.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        F.lit(voc.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"),
     )
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(voc.total).cast("long").alias("train_tokens"), "base_score", "score")
