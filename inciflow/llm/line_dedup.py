@@ -1,7 +1,8 @@
 """Line dedup on levelled sorted runs of line hashes.
 
-A run is a table (h1, h2, n_docs, max_doc) sorted by hash. Each batch of documents adds one run to level
-0; `fanout` runs of a level are compacted into one of the next. Runs meet lines in merge joins.
+A run is a table (h1, h2, n_docs, max_doc) sorted by hash; no two runs hold the same line. Each batch of
+documents merge-anti-joins the runs: lines that none holds become a run of level 0, and lines that are held
+add their counts beside the runs. `fanout` runs of a level are compacted into one of the next.
 """
 
 from __future__ import annotations
@@ -31,40 +32,54 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs in a shared folder. `levels[i]` lists the paths of the runs of level i."""
+    """Levelled runs in a shared folder. `levels[i]` lists the paths of the runs of level i, `additions` those of counts."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout, self.levels, self.root = spark, fanout, [], work_path(spark, "line-runs")
-        self.written = 0
+        self.additions, self.written = [], 0
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path, self.written = f"{self.root}/level={level}/run={self.written}", self.written + 1
+    def _write(self, run: DataFrame, folder: str) -> str:
+        path, self.written = f"{self.root}/{folder}/run={self.written}", self.written + 1
         run.sortWithinPartitions(*HASH).write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        return path
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema("h1 long, h2 long, n_docs long, max_doc long").parquet(*paths)
 
-    @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    @property
+    def _paths(self) -> list[str]:
+        return [p for level in self.levels for p in level]
 
-    def add(self, lines: DataFrame) -> None:
-        """Add the run of a batch. Batches share no document."""
-        once = lines.groupBy(*HASH, "doc_id").agg(F.lit(1).cast("long").alias("n_docs"))
-        self._write(once.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("doc_id").cast("long").alias("max_doc")), 0)
+    def _push(self, path: str, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(path)
+
+    def _compact(self) -> None:
+        """Runs hold different lines, so those of a full level become one by sorting alone."""
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(self._read(full)), level + 1)
+            self._push(self._write(self._read(full).repartition(*HASH), f"level={level + 1}"), level + 1)
             level += 1
 
+    def add(self, lines: DataFrame) -> None:
+        """Count a batch, which shares no document with others: new lines are a run, held lines add their counts."""
+        once = lines.groupBy(*HASH, "doc_id").agg(F.lit(1).cast("long").alias("n_docs"))
+        counted = once.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("doc_id").cast("long").alias("max_doc"))
+        if self._paths:
+            batch = self._read([self._write(counted, "batch")])
+            fresh = self._write(self.unseen(batch), "level=0")
+            self.additions.append(self._write(batch.join(self._read([fresh]).select(*HASH), HASH, "left_anti"), "additions"))
+        else:
+            fresh = self._write(counted, "level=0")
+        self._push(fresh, 0)
+        self._compact()
+
     def unseen(self, lines: DataFrame) -> DataFrame:
         """Lines of a batch that no run holds: a merge anti join with each run."""
-        for path in [p for level in self.levels for p in level]:
-            lines = lines.join(self._read([path]).select(*HASH), HASH, "left_anti")
+        for path in self._paths:
+            lines = lines.join(self._read([path]).select(*HASH).hint("merge"), HASH, "left_anti")
         return lines
 
     def admit(self, lines: DataFrame) -> DataFrame:
@@ -74,8 +89,14 @@ class LineRuns:
         return fresh
 
     def all(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        return self._merged(self._read(paths))
+        """Each line once, with the documents of all batches; only lines of several batches are added up."""
+        runs = self._read(self._paths)
+        if not self.additions:
+            return runs
+        more = self._read(self.additions).groupBy(*HASH).agg(F.sum("n_docs").alias("n_more"), F.max("max_doc").alias("max_more"))
+        found = runs.join(more, HASH, "left")
+        n_docs = F.col("n_docs") + F.coalesce("n_more", F.lit(0))
+        return found.select(*HASH, n_docs.alias("n_docs"), F.greatest("max_doc", "max_more").alias("max_doc"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:

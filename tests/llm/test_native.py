@@ -53,6 +53,20 @@ def test_line_runs_admit_each_line_once(spark):
     assert runs.all().count() == 1
 
 
+@pytest.mark.parametrize("fanout", [2, 3, 8])
+def test_line_runs_hold_each_line_once_and_count_all_batches(spark, fanout):
+    runs, want = line_dedup.LineRuns(spark, fanout=fanout), defaultdict(set)
+    for batch in range(6):
+        rows = [(10 * batch + i, (batch * i) % 7, i % 3) for i in range(10)] + [(None if batch == 2 else 99 + batch, 1, 1)]
+        for d, a, b in rows:
+            want[(a, b)].add(d)
+        runs.add(spark.createDataFrame(rows + rows[:3], "doc_id long, h1 long, h2 long"))
+    held = [(r["h1"], r["h2"]) for level in runs.levels for p in level for r in runs._read([p]).collect()]
+    assert sorted(held) == sorted(want)
+    got = {(r["h1"], r["h2"]): (r["n_docs"], r["max_doc"]) for r in runs.all().collect()}
+    assert got == {k: (len(v), max(x for x in v if x is not None)) for k, v in want.items()}
+
+
 def test_no_rows(spark):
     none = nasty(spark).limit(0)
     assert line_dedup.dedup_lines(none).count() == 0
