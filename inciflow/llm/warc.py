@@ -34,6 +34,13 @@ READ_BYTES = 4 << 20
 #: Signatures of the ZIP format: end record, ZIP64 locator, ZIP64 end record, central entry, local header.
 END, LOCATOR64, END64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
 ALL_ONES_16, ALL_ONES_32 = 0xFFFF, 0xFFFFFFFF
+#: Fixed values of WARC 1.1: the profile of a revisit with an equal payload, the content type of a response.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP_RESPONSE = "application/http; msgtype=response"
+#: Date of records whose table has none: fixed, so that reruns write equal records.
+DATE = "2000-01-01T00:00:00Z"
+#: URI of a page without one; a record needs a URI.
+NO_URL = "urn:no-url:"
 
 
 class BadPackage(ValueError):
@@ -122,6 +129,18 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
+def http_response(payload: bytes) -> bytes:
+    """The payload under the header of an HTTP response."""
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+
+
+def http_payload(block: bytes) -> bytes:
+    head, mark, payload = block.partition(b"\r\n\r\n")
+    if not mark or not head.startswith(b"HTTP/"):
+        raise BadPackage("a response without an HTTP header")
+    return payload
+
+
 def package(records: list[tuple[dict[str, str], bytes]]) -> bytes:
     """A package of (fields, payload) records."""
     archive, index = io.BytesIO(), []
@@ -170,9 +189,12 @@ def revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     return found.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_packages(pages: DataFrame, folder: str, least_bytes: int = 100) -> DataFrame:
+def write_packages(pages: DataFrame, folder: str, least_bytes: int = 100, date: str = DATE) -> DataFrame:
     """Write `pages` into packages below `folder`; (path, records) of the packages written.
 
+    A response holds the payload under an HTTP header; a revisit names its profile and the record it refers to and
+    holds nothing. All records carry `date`.
+
     A package gets its name from the attempt that writes it and counts only if the list returned names it, so
     a repeated task leaves no record twice.
     """
@@ -194,13 +216,14 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 100) -> Dat
 
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                uri = f"{NO_URL}{'' if page_id is None else page_id}" if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
                 fields = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>"}
-                fields |= {"WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": str(len(payload))}
-                if url is not None:
-                    fields["WARC-Target-URI"] = url.replace("\r", "%0D").replace("\n", "%0A")
-                if refers_to is not None:
-                    fields["WARC-Refers-To"] = f"<urn:page:{refers_to}>"
-                records.append((fields, payload if refers_to is None else b""))
+                fields |= {"WARC-Date": date, "WARC-Target-URI": uri, "WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": str(len(payload))}
+                if refers_to is None:
+                    fields["Content-Type"] = HTTP_RESPONSE
+                else:
+                    fields |= {"WARC-Profile": SAME_PAYLOAD, "WARC-Refers-To": f"<urn:page:{refers_to}>"}
+                records.append((fields, http_response(payload) if refers_to is None else b""))
                 held += len(payload) if refers_to is None else 0
                 if held >= PACKAGE_BYTES:
                     close()
@@ -226,12 +249,14 @@ def read_packages(packages: DataFrame, folder: str) -> DataFrame:
         for name in (x for b in batches for x in b.column("path").to_pylist()):
             with fs.open_input_file(f"{root}/{name}") as file:
                 rows, held = [], 0
-                for fields, payload in read_package(lambda at, n: file.read_at(n, at), file.size()):
+                for fields, block in read_package(lambda at, n: file.read_at(n, at), file.size()):
                     digest, kind = fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"]
+                    payload = http_payload(block) if kind == "response" else block
+                    uri = fields["warc-target-uri"]
                     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise BadPackage(f"{name}: a payload was changed")
                     n = len(payload) if kind == "response" else int(fields["x-payload-length"])
-                    rows.append((number(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, number(fields.get("warc-refers-to")), payload if kind == "response" else None, n, digest))
+                    rows.append((number(fields["warc-record-id"]), None if uri.startswith(NO_URL) else uri, kind, number(fields.get("warc-refers-to")), payload if kind == "response" else None, n, digest))
                     held += len(payload)
                     if held > READ_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)

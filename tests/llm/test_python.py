@@ -160,6 +160,29 @@ def test_warc_round_trip_on_odd_pages(spark):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_records_carry_what_the_format_asks_for(spark, tmp_path):
+    long = "<p>" + "y" * 120
+    df = spark.createDataFrame([(1, "http://a", long), (2, None, long), (3, "http://c", None)], "page_id long, url string, html string")
+    listed = warc.write_packages(df.coalesce(1), f"file://{tmp_path}").collect()
+    assert warc.write_packages(df.limit(0), f"file://{tmp_path}").count() == 0
+    records = {}
+    for r in listed:
+        data = (tmp_path / r["path"]).read_bytes()
+        for fields, block in warc.read_package(reader(data), len(data)):
+            records[fields["warc-record-id"]] = (fields, block)
+    assert len(records) == 3
+    for fields, block in records.values():
+        assert fields["warc-date"] == warc.DATE and fields["warc-target-uri"] and int(fields["content-length"]) == len(block)
+    first, second, third = (records[f"<urn:page:{i}>"] for i in (1, 2, 3))
+    assert first[0]["content-type"] == "application/http; msgtype=response"
+    head, _, body = first[1].partition(b"\r\n\r\n")
+    assert head.startswith(b"HTTP/1.1 200 ") and b"Content-Length: 123" in head and body.decode() == long
+    assert second[0]["warc-profile"].endswith("/revisit/identical-payload-digest") and second[0]["warc-refers-to"] == "<urn:page:1>" and not second[1]
+    assert warc.http_payload(third[1]) == b"" and third[0]["warc-type"] == "response"
+    with pytest.raises(warc.BadPackage):
+        warc.http_payload(b"<p>bare html")
+
+
 def test_hilbert_neighbours_touch():
     axes, bits = 3, 3
     grid = np.stack(np.meshgrid(*[np.arange(8)] * axes, indexing="ij"), axis=-1).reshape(-1, axes)
