@@ -372,6 +372,21 @@ def top_messages(scored: DataFrame, reasons: str, impact: str, k: int = 5) -> Da
     return top_per_group(best, PAIR, [F.col("o")], k).select(*PAIR, "rank", "message")
 
 
+def pros_and_cons(scored: DataFrame, k: int = 5) -> DataFrame:
+    """Per request the positive messages, and safety notes followed by negative messages: at most k of each."""
+    kinds = (("positive_reasons", "positive"), ("safety_reasons", "penalty"), ("negative_reasons", "negative"))
+    each = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(impact).cast("bigint").alias("impact"), F.col(reasons).alias("reasons")) for i, (reasons, impact) in enumerate(kinds)])
+    said = scored.select(*PAIR, "position", F.explode(each).alias("x")).select(*PAIR, "position", "x.kind", "x.impact", F.posexplode("x.reasons").alias("i", "message"))
+    best = said.groupBy(*PAIR, "kind", "message").agg(F.min(F.struct((-F.col("impact")).alias("a"), "position", "i")).alias("o"))
+    top = top_per_group(best, [*PAIR, "kind"], [F.col("o")], k)
+    packed = top.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("kind", "rank", "message"))).alias("m"))  # 3 * k at most
+
+    def text(keep):
+        return F.array_join(F.slice(F.transform(F.filter("m", keep), lambda x: x["message"]), 1, k), " | ")
+
+    return packed.select(*PAIR, text(lambda x: x["kind"] == 0).alias("pros"), text(lambda x: x["kind"] > 0).alias("cons"))
+
+
 def top_ingredients(scored: DataFrame, k: int = 3) -> DataFrame:
     """Strongest and weakest lines of each request, both sides in one window pass."""
     side = F.when(F.col("net") > 80, "strength").when(F.col("net") < -80, "weakness")

@@ -374,21 +374,27 @@ def f14_breakdown(spark, sf):
     return S.breakdown(scored_lines(spark, sf))
 
 
-def analyze(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame, min_count: int = K.MIN_LIST_SIZE, fuzzy: bool = True) -> DataFrame:
+def analyze(
+    lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame, min_count: int = K.MIN_LIST_SIZE, fuzzy: bool = True, full: bool = False
+) -> DataFrame:
     """One row per distinct request: gate, scores, verdict, confidence, strengths and weaknesses.
 
     Requests for lists without lines are answered too (not verified). Lists are typed in by hand, so brand and site are both `Manual Input`.
-    Verification counters and score sums come out of the same aggregate.
+    Verification counters and score sums come out of the same aggregate. With `full`, requests are those of
+    `catalogue_requests`: their origin decides the confidence, and product, confidence notes, pros and cons come along.
     """
+    origin = ["product_id", "product_name", "method", "website", "brand"] if full else []
     resolved = R.resolve_names(lines, dim, fuzzy)
     scored = S.scored_rows(resolved.withColumn("display_name", F.col("canonical_name")), requests, dim, profiles)
     sums = scored.groupBy(*S.PAIR).agg(*V.counter_aggregates(), *S.score_aggregates())
     nothing = {n: F.coalesce(F.col(n), F.lit(0).cast(t)) for n, t in sums.dtypes if n not in S.PAIR}
-    asked = requests.select(*S.PAIR).distinct().join(sums, S.PAIR, "left").withColumns(nothing)
+    asked = requests.select(*S.PAIR, *origin).distinct().join(sums, S.PAIR, "left").withColumns(nothing)
     checked = V.verify_lists(asked, min_count)
     manual = F.lit("Manual Input")
-    confidence, _ = V.analysis_confidence(F.lit("manual-input"), manual, manual)
+    came = (F.col("method"), F.col("website"), F.col("brand")) if full else (F.lit("manual-input"), manual, manual)
+    confidence, details = V.analysis_confidence(*came)
     safety, suit = S.score_columns()
+    more = [*origin, F.when(F.col("verified"), F.array_join(details, " | ")).otherwise("").alias("confidence_details")] if full else []
     ok = F.col("verified")
     rows = checked.select(
         *S.PAIR,
@@ -397,10 +403,17 @@ def analyze(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: Dat
         F.when(ok, safety).alias("safety_score"),
         F.when(ok, suit).alias("suitability_score"),
         F.when(ok, confidence).otherwise(0).cast("bigint").alias("confidence_score"),
+        *more,
     )
     tops = S.packed_sides(S.top_ingredients(scored))
     sa, su = F.col("safety_score"), F.col("suitability_score")
-    return rows.join(tops, S.PAIR, "left").select(
+    met = rows.join(tops, S.PAIR, "left")
+    notes = []
+    if full:
+        met = met.join(S.pros_and_cons(scored), S.PAIR, "left")
+        said = [F.when(ok, T.text(F.col(c))).otherwise("").alias(c) for c in ("pros", "cons")]
+        notes = ["product_id", F.coalesce("product_name", F.lit("Custom Ingredient List")).alias("product_name"), "confidence_details", *said]
+    return met.select(
         *S.PAIR,
         F.when(ok, "VERIFIED_INGREDIENTS_FOUND").otherwise("NO_VERIFIED_INGREDIENTS").alias("status"),
         "rule",
@@ -411,9 +424,34 @@ def analyze(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: Dat
         F.when(ok, S.verdict_text(sa, su)).alias("verdict"),
         F.when(ok, T.text(F.col("strengths"))).otherwise("").alias("strengths"),
         F.when(ok, T.text(F.col("weaknesses"))).otherwise("").alias("weaknesses"),
+        *notes,
     )
 
 
+def catalogue_requests(asked: DataFrame, products: DataFrame) -> DataFrame:
+    """Requests (profile_id, list_id, product_name) with the list and origin that answers them.
+
+    A product of the catalogue (product_id, name, brand, product_list) whose name is asked for, apart from case and outer
+    blanks, brings its own list; of equal names the smallest product_id counts. All others bring the list typed in.
+    """
+    key = lambda c: F.trim(F.lower(c))
+    known = products.where(F.col("name").isNotNull()).groupBy(F.lower("name").alias("key")).agg(F.min_by(F.struct("product_id", "name", "brand", "product_list"), "product_id").alias("p"))
+    met = asked.join(known, key(F.col("product_name")) == F.col("key"), "left")
+    found = F.col("p").isNotNull()
+    site = F.when(found, F.col("p.brand")).otherwise("Manual Input")
+    return met.select(
+        "profile_id", F.when(found, F.col("p.product_list")).otherwise(F.col("list_id")).alias("list_id"), F.col("p.product_id").alias("product_id"),
+        F.when(found, F.col("p.name")).otherwise(F.col("product_name")).alias("product_name"),
+        F.when(found, F.lit("catalog-verified")).otherwise("manual-input").alias("method"), site.alias("website"), site.alias("brand"),
+    )
+
+
+def unknown_names(resolved: DataFrame, min_count: int = K.MIN_LIST_SIZE) -> DataFrame:
+    """(list_id, position, name): what an answer calls unknown; every name of a list that isn't verified."""
+    gate = V.verify_lists(V.list_counters(resolved), min_count).select("list_id", "verified")
+    return resolved.join(gate, "list_id").where(F.col("ingredient_id").isNull() | ~F.col("verified")).select("list_id", "position", F.col("canonical_name").alias("name"))
+
+
 _MC, _MN = Q.analysis_confidence("'manual-input'", "'Manual Input'", "'Manual Input'")
 ANALYZE = dict(
     CNT, ver=Q.verified(ORDER_MIN), prof=B.PROFILE_SQL, allreq=B.OPEN_REQUESTS_SQL,
@@ -448,3 +486,63 @@ def f15_analyze_long(spark, sf):
     customers = F.broadcast(B.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n")))  # one row
     asked = lines.select("list_id").distinct().join(customers).select((F.col("list_id") % F.col("n")).alias("profile_id"), "list_id")
     return analyze(lines, asked, B.dimension(spark, sf), B.profiles(spark, sf))
+
+
+# The catalogue: a product per supplier and year, with the list of what the supplier shipped. Every list is asked about by one
+# profile, half of them by product name; the others paste a list and give a name that no product has, or none.
+_PRODUCT = "s_name || ' ' || CAST(list_id % 10000 AS STRING)"
+_ASKED = "CASE list_id % 4 WHEN 0 THEN upper(name) WHEN 1 THEN ' ' || name || ' ' WHEN 2 THEN name || ' refill' END"
+
+
+def catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    lists = B.long_formula_lines(spark, sf).select("list_id").distinct()
+    sold = lists.join(B.table(spark, sf, "supplier"), F.floor(F.col("list_id") / 10000) == F.col("s_suppkey"))
+    return sold.select(F.col("list_id").alias("product_id"), F.expr(_PRODUCT).alias("name"), F.col("s_name").alias("brand"), F.col("list_id").alias("product_list"))
+
+
+def asked_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """The customer next to a list's number asks; one who names a product pastes a list of no lines beside it."""
+    customers = F.broadcast(B.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n")))  # one row
+    lists = catalogue(spark, sf).withColumnRenamed("product_list", "list_id").join(customers)
+    pasted = F.when(F.col("list_id") % 4 < 2, -F.col("list_id")).otherwise(F.col("list_id"))
+    return lists.select((F.col("list_id") % F.col("n")).alias("profile_id"), pasted.alias("list_id"), F.expr(_ASKED).alias("product_name"))
+
+
+_FULL = dict(
+    ANALYZE, lines=B.LONG_LINES_SQL, ver=Q.verified(K.MIN_LIST_SIZE),
+    allreq="SELECT list_id % (SELECT count(*) FROM customer) AS profile_id, list_id, CASE WHEN list_id % 4 < 2 THEN list_id END AS product_id, "
+    f"CASE WHEN list_id % 4 < 2 THEN name ELSE {_ASKED} END AS product_name, CASE WHEN list_id % 4 < 2 THEN 'catalog-verified' ELSE 'manual-input' END AS method, "
+    "CASE WHEN list_id % 4 < 2 THEN s_name ELSE 'Manual Input' END AS site "
+    f"FROM (SELECT list_id, {_PRODUCT.replace('STRING', 'VARCHAR')} AS name, s_name FROM (SELECT DISTINCT list_id FROM lines) JOIN supplier ON s_suppkey = list_id // 10000)",
+    good=Q.top_messages("positive_reasons", "positive"), bad=Q.top_messages("negative_reasons", "negative"), unsafe=Q.top_messages("safety_reasons", "penalty"),
+    pros="SELECT profile_id, list_id, string_agg(message, ' | ' ORDER BY rank) AS pros FROM good GROUP BY 1, 2",
+    cons="SELECT profile_id, list_id, string_agg(message, ' | ' ORDER BY part, rank) AS cons FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, list_id ORDER BY part, rank) AS n "
+    "FROM (SELECT *, 0 AS part FROM unsafe UNION ALL SELECT *, 1 FROM bad)) WHERE n <= 5 GROUP BY 1, 2",
+)
+_FC, _FN = Q.analysis_confidence("method", "site", "site")
+
+
+@query(
+    "f15_full_analysis",
+    ctes(
+        "SELECT a.profile_id, a.list_id, CASE WHEN a.verified THEN 'VERIFIED_INGREDIENTS_FOUND' ELSE 'NO_VERIFIED_INGREDIENTS' END AS status, a.rule, safety_score, suitability_score, "
+        f"{Q.OVERALL} AS overall_score, CASE WHEN a.verified THEN conf ELSE 0 END AS confidence_score, CASE WHEN a.verified THEN {Q.VERDICT} END AS verdict, "
+        "coalesce(strengths, '') AS strengths, coalesce(weaknesses, '') AS weaknesses, a.product_id, coalesce(a.product_name, 'Custom Ingredient List') AS product_name, "
+        "CASE WHEN a.verified THEN array_to_string(notes, ' | ') ELSE '' END AS confidence_details, coalesce(pros, '') AS pros, coalesce(cons, '') AS cons "
+        f"FROM (SELECT *, {_FC} AS conf, {_FN} AS notes FROM allreq JOIN ver USING (list_id)) a LEFT JOIN ps USING (profile_id, list_id) "
+        "LEFT JOIN packs USING (profile_id, list_id) LEFT JOIN pros USING (profile_id, list_id) LEFT JOIN cons USING (profile_id, list_id)",
+        **_FULL,
+    ),
+)
+def f15_full_analysis(spark, sf):
+    """The whole answer, from the catalogue where the product is known, else from the list typed in."""
+    asked = catalogue_requests(asked_by_name(spark, sf), catalogue(spark, sf))
+    return analyze(B.long_formula_lines(spark, sf), asked, B.dimension(spark, sf), B.profiles(spark, sf), full=True)
+
+
+@query(
+    "f15_unknown_names",
+    ctes("SELECT r.list_id, r.position, r.canonical_name AS name FROM res r JOIN ver v ON v.list_id = r.list_id WHERE r.ingredient_id IS NULL OR NOT v.verified", **CNT, ver=Q.verified(ORDER_MIN)),
+)
+def f15_unknown_names(spark, sf):
+    return unknown_names(resolved_lines(spark, sf), ORDER_MIN)
