@@ -446,6 +446,15 @@ def score_band(c: Column) -> Column:
     return F.when(c >= 75, "Safe").when(c >= 50, "Moderate").otherwise("Risky")
 
 
+def score_summary(answers: DataFrame) -> DataFrame:
+    """The figures of each answer: both scores (0 where there is none) with their states, and the confidence as it is."""
+    safety, suit = (F.coalesce(c, F.lit(0)) for c in ("safety_score", "suitability_score"))
+    return answers.select(
+        *PAIR, safety.alias("safety"), suit.alias("suitability"), F.col("confidence_score").alias("confidence"),
+        score_band(safety).alias("safety_status"), score_band(suit).alias("suitability_status"),
+    )
+
+
 def quick_rows(lines: DataFrame, requests: DataFrame, dim: DataFrame, profiles: DataFrame) -> DataFrame:
     """Lines matched by exact lower-case name, with losses and messages per request."""
     first = first_per_key(dim, ["name"], [F.col("ingredient_id")]).select(

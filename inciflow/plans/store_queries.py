@@ -14,6 +14,7 @@ from ..operators import standardise as ST
 from ..operators import store as KB
 from ..operators import verify as V
 from ..sources import bindings as B
+from ..sources import seeds
 from ..sources.tables import scan
 from ..streaming.jobs import work_dir
 from . import duck as D
@@ -56,6 +57,40 @@ def a1_seed_overlay(spark, sf):
     return out.select("ingredient_id", "name", F.array_join("functions", "|").alias("functions"), "evidence_level")
 
 
+def _values(rows, names):
+    """Rows of text and lists of text as a VALUES relation."""
+    cell = lambda v: "NULL" if v is None else ("[" + ", ".join(map(D.q, v)) + "]::VARCHAR[]" if isinstance(v, list) else D.q(v))
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({', '.join(names)})"
+
+
+_SEED_COLUMNS = ("name", "aliases", "purpose", "functions", "evidence_level")
+
+
+@query(
+    "a1_seed_load",
+    ctes(
+        "SELECT coalesce(l.name, s.name) AS name, l.name IS NOT NULL AS is_seed, s.name IS NOT NULL AS is_stored, coalesce(l.purpose, s.purpose) AS purpose, "
+        + ", ".join(f"coalesce({joined(f'coalesce(l.{c}, s.{c})')}, '') AS {c}" for c in ("aliases", "functions"))
+        + ", coalesce(l.evidence_level, s.evidence_level) AS evidence_level FROM loaded l FULL JOIN raw s ON s.name = l.name",
+        raw=B.DIM_RAW_SQL,
+        seed=_values([(r[0], r[1], r[2]) for r in seeds.INGREDIENTS], ("name", "aliases", "purpose")),
+        cur=_values([(r[0], r[1], r[2], r[5]) for r in seeds.CURATED], ("key", "aliases", "functions", "evidence_level")),
+        loaded="SELECT s.name, coalesce(c.aliases, s.aliases) AS aliases, s.purpose, coalesce(c.functions, []::VARCHAR[]) AS functions, c.evidence_level "
+        f"FROM seed s LEFT JOIN cur c ON {D.spaced_key('c.key')} = {D.spaced_key('s.name')}",
+    ),
+)
+def a1_seed_load(spark, sf):
+    """The stored dimension with the seed rows, curated fields on top, loaded into it; a seed row wins over a stored one."""
+    seed, _, curated = seeds.load_seed(spark)
+    loaded = KN.overlay_curated(seed, curated).select(*_SEED_COLUMNS, F.lit(True).alias("is_seed"))
+    stored = B.raw_dim(spark, sf).select("name", *[F.col(c).alias(f"s_{c}") for c in _SEED_COLUMNS[1:]], F.lit(True).alias("is_stored"))
+    both = loaded.join(stored, "name", "full")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("is_seed", "is_stored")]
+    value = {c: F.coalesce(c, f"s_{c}") for c in _SEED_COLUMNS[1:]}
+    lists = [F.coalesce(F.array_join(value[c], "|"), F.lit("")).alias(c) for c in ("aliases", "functions")]
+    return both.select("name", *flags, value["purpose"].alias("purpose"), *lists, value["evidence_level"].alias("evidence_level"))
+
+
 @query("a2_filtered_scan", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def a2_filtered_scan(spark, sf):
     return scan(spark, f"{sf}/orders.parquet", "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'", ["o_orderkey", "o_custkey", "o_totalprice"])
@@ -580,6 +615,19 @@ def e12_score_bands(spark, sf):
     return p.groupBy(S.score_band(F.col("safety_score")).alias("safety_band"), S.score_band(F.col("suitability_score")).alias("suitability_band")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
+@query(
+    "e12_score_summary",
+    ctes(
+        f"SELECT safety_status, suitability_status, confidence, count(*) AS answers FROM (SELECT {_band('coalesce(safety_score, 0)')} AS safety_status, "
+        f"{_band('coalesce(suitability_score, 0)')} AS suitability_status, confidence_score AS confidence FROM ({ANALYZE_SQL})) GROUP BY 1, 2, 3",
+        **ANALYZE,
+    ),
+)
+def e12_score_summary(spark, sf):
+    """Answers by the state of both scores and by confidence; what could not be verified counts as score 0."""
+    return S.score_summary(order_analysis(spark, sf)).groupBy("safety_status", "suitability_status", "confidence").agg(F.count(F.lit(1)).alias("answers"))
+
+
 # ------------------------------------------------------------------ D10 / D11 / F16 - F18
 @query(
     "d10_expand_codes",
