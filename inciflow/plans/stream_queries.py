@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import markup as M
+from ..operators import pages as PG
+from ..operators import standardise as ST
+from ..operators import store as KB
 from ..sources import bindings as B
 from ..sources.tables import event_time, file_stream
 from ..streaming import jobs as J
+from ..streaming import learning as LE
 from . import duck as D
+from . import page_queries as PQ
 from . import sql_resolve as Q
+from . import text_queries as TQ
 from .registry import ctes, query
 
 LIST_MIN = 5
@@ -208,17 +215,123 @@ def j5_attempt_sessions(spark, sf):
 
 
 # ------------------------------------------------------------------ J6
-_PSUB = {"submission_id": "CAST(page_id AS STRING)", "fingerprint": "p_name", "ord": "page_id", "text": "CASE page_id % 3 WHEN 0 THEN 'see label' ELSE " + _NAMES.replace("role", "p_type") + " END"}
+# Every page is crawled twice, in two micro-batches; a third of the pages keeps its address. Some products are
+# known before, in part under another fingerprint or name.
+_CRAWL = {
+    "request_id": "page_id * 2 + {b}", "ord": "page_id",
+    "url": "CASE WHEN {b} = 0 OR page_id % 3 = 0 THEN url ELSE url || '?crawl=2' END",
+}
+_SEED = "page_id % 25 = 0"
+_SEED_PRINT = "CASE WHEN page_id % 50 = 25 THEN 'old ' || fingerprint ELSE fingerprint END"
+_SEED_NAME = "CASE WHEN page_id % 100 = 75 THEN 'Old ' || canonical_name ELSE canonical_name END"
+_SEED_TIME = "-1 - page_id"
+
+
+def _described(pages):
+    # the article number tells products of a brand apart; without any, the brand alone would be an alias key
+    ld = PG.jsonld_products(pages.withColumnRenamed("request_id", "page_id"))
+    empty = F.lit("")
+    return ld.select(
+        F.col("page_id").alias("request_id"), "brand", "name", F.col("name").alias("canonical_name"),
+        F.col("sku").alias("variant"), empty.alias("size"), empty.alias("category"), "sku",
+    )
+
+
+def _extracted(pages):
+    pages = pages.withColumnRenamed("request_id", "page_id")
+    dom = M.dom_candidates(pages).select("page_id", "method", "label", "raw_text")
+    ld = PG.jsonld_products(pages).where("ingredients <> ''")
+    ld = ld.select("page_id", F.lit("json-ld").alias("method"), F.lit("json-ld").alias("label"), F.col("ingredients").alias("raw_text"))
+    return dom.unionByName(ld).withColumnRenamed("page_id", "request_id")
+
+
+def _crawls(spark, sf, b):
+    return B.product_pages(spark, sf).select(*[F.expr(v.format(b=b)).alias(k) for k, v in _CRAWL.items()], "html", "page_id")
+
+
+def _learned_before(spark, sf):
+    """A knowledge base from an earlier crawl."""
+    pages = B.product_pages(spark, sf)
+    own = pages.where(_SEED).withColumnRenamed("page_id", "request_id")
+    products = ST.fingerprint(_described(own))
+    keys = ST.alias_keys(products, "request_id").withColumnRenamed("request_id", "page_id")
+    p = products.withColumnRenamed("request_id", "page_id").select("page_id", F.expr(_SEED_PRINT).alias("fingerprint"), "brand", F.expr(_SEED_NAME).alias("canonical_name"))
+    time = F.expr(_SEED_TIME)
+    return {
+        "cache": pages.where("page_id % 7 = 0").select("url"),
+        "product": p.select("fingerprint", "brand", "canonical_name", time.alias("updated_at")),
+        "formula": p.select(
+            "fingerprint", F.concat(F.lit("seed "), "page_id").alias("formula_id"), F.lit(0.9).alias("confidence"), time.alias("verified_at"),
+            F.lit("").alias("ingredients_text"), F.lit(0).cast("bigint").alias("ingredient_count"),
+        ),
+        "alias": keys.join(p.select("page_id", "fingerprint"), "page_id").select("alias_key", "fingerprint", time.alias("registered_at")),
+    }
+
+
+def _cascade(b):
+    """Outcomes of a crawl against the knowledge base before it, step by step."""
+    before = f" UNION ALL SELECT * FROM {{}}{b - 1}" if b else ""
+    url = _CRAWL["url"].format(b=b)
+    return {
+        f"rq{b}": f"SELECT page_id, {_CRAWL['request_id'].format(b=b)} AS request_id, page_id AS ord, {url} AS url, fingerprint, brand, canonical_name, keys FROM base",
+        f"ca{b}": "SELECT url FROM pages WHERE page_id % 7 = 0" + (f" UNION SELECT url FROM ca{b - 1} UNION SELECT url FROM rq{b - 1} JOIN oc{b - 1} USING (request_id) WHERE verified" if b else ""),
+        f"re{b}": f"SELECT * FROM rq{b} WHERE url NOT IN (SELECT url FROM ca{b})",
+        f"pr{b}": "SELECT fingerprint, brand, canonical_name, updated_at FROM (SELECT fingerprint, brand, canonical_name, updated_at FROM sd" + before.format("np") + ") QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY updated_at DESC, brand DESC, canonical_name DESC) = 1",
+        f"bf{b}": "SELECT fingerprint FROM sd" + (f" UNION SELECT fingerprint FROM np{b - 1}" if b else ""),
+        f"al{b}": "SELECT alias_key, fingerprint FROM (SELECT alias_key, fingerprint, registered_at FROM sa" + before.format("na") + ") QUALIFY row_number() OVER (PARTITION BY alias_key ORDER BY registered_at, fingerprint) = 1",
+        f"bn{b}": f"SELECT brand, canonical_name, fingerprint AS named FROM pr{b} WHERE brand <> '' AND canonical_name <> '' QUALIFY row_number() OVER (PARTITION BY brand, canonical_name ORDER BY updated_at DESC, fingerprint DESC) = 1",
+        f"pk{b}": f"SELECT r.*, p.fingerprint IS NOT NULL AS st, coalesce(p.fingerprint, n.named) AS fpx FROM re{b} r LEFT JOIN pr{b} p ON p.fingerprint = r.fingerprint LEFT JOIN bn{b} n ON n.brand = r.brand AND n.canonical_name = r.canonical_name",
+        f"lk{b}": f"SELECT request_id, CASE WHEN st THEN 'database' ELSE 'database-alias' END AS source, fpx AS fingerprint FROM pk{b} WHERE fpx IN (SELECT fingerprint FROM bf{b}) UNION ALL "
+        f"SELECT request_id, 'memory-alias', a.fingerprint FROM (SELECT request_id, unnest(generate_series(1, len(keys))) AS i, keys FROM pk{b} WHERE fpx IS NULL OR fpx NOT IN (SELECT fingerprint FROM bf{b})) u "
+        f"JOIN al{b} a ON a.alias_key = keys[i] QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY i) = 1",
+        f"ms{b}": f"SELECT r.*, e.* EXCLUDE (page_id) FROM re{b} r LEFT JOIN ext e USING (page_id) WHERE request_id NOT IN (SELECT request_id FROM lk{b})",
+        f"te{b}": f"SELECT fingerprint, min(ord) AS first_ord FROM ms{b} WHERE ok GROUP BY 1",
+        f"oc{b}": "SELECT request_id, source, fingerprint, method, confidence, ingredient_count, CAST(attempts AS BIGINT) AS attempts, verified FROM ("
+        f"SELECT request_id, 'cache' AS source, NULL AS fingerprint, NULL AS method, NULL AS confidence, NULL AS ingredient_count, 0 AS attempts, true AS verified FROM rq{b} WHERE url IN (SELECT url FROM ca{b}) "
+        f"UNION ALL SELECT request_id, source, fingerprint, NULL, NULL, NULL, 0, true FROM lk{b} "
+        f"UNION ALL SELECT request_id, 'memory', fingerprint, NULL, NULL, NULL, 0, true FROM ms{b} JOIN te{b} USING (fingerprint) WHERE ord > first_ord "
+        f"UNION ALL SELECT request_id, CASE WHEN ok THEN 'extraction' ELSE 'none' END, CASE WHEN ok THEN fingerprint END, CASE WHEN ok THEN method END, CASE WHEN ok THEN confidence END, CASE WHEN ok THEN n END, coalesce(tries, 0), coalesce(ok, false) "
+        f"FROM ms{b} LEFT JOIN te{b} USING (fingerprint) WHERE first_ord IS NULL OR ord <= first_ord)",
+        f"np{b}": f"SELECT fingerprint, brand, canonical_name, ord AS updated_at FROM ms{b} JOIN te{b} USING (fingerprint) WHERE ord = first_ord",
+        f"na{b}": f"SELECT unnest(keys) AS alias_key, fingerprint, ord AS registered_at FROM ms{b} JOIN te{b} USING (fingerprint) WHERE ord = first_ord",
+    }
+
+
+_SITE = PQ.host_key("url")
+_LEARN = dict(
+    dim=B.DIM_SQL, **PQ.PG, **PQ.LD, **PQ._DOM,
+    enr="SELECT page_id AS p_partkey, brand, name, name AS canonical_name, sku AS variant, '' AS size, '' AS category, sku FROM ld", ident=TQ.IDENT,
+    base=f"SELECT e.page_id, url, e.fingerprint, brand, canonical_name, keys FROM (SELECT p_partkey AS page_id, brand, canonical_name, {TQ.FP} AS fingerprint FROM enr) e "
+    f"JOIN (SELECT p_partkey AS page_id, {Q.ordered_distinct('k')} AS keys FROM (SELECT p_partkey, {TQ.ALIAS_FORMS} AS k FROM ident)) a USING (page_id) JOIN pages USING (page_id)",
+    sd=f"SELECT page_id, {_SEED_PRINT} AS fingerprint, brand, {_SEED_NAME} AS canonical_name, {_SEED_TIME} AS updated_at FROM base WHERE {_SEED}",
+    sa=f"SELECT unnest(keys) AS alias_key, sd.fingerprint, {_SEED_TIME} AS registered_at FROM base JOIN sd USING (page_id)",
+    cand="SELECT page_id, 'dom-heading' AS method, 'Ingredients' AS label, lst AS raw_text FROM pl UNION ALL "
+    "SELECT page_id, 'dom-container', 'ingredient-list', 'Water, ' || p_name || ', Sodium oil, Glycerin' FROM pl UNION ALL "
+    "SELECT page_id, 'dom-table', 'ingredient-table', 'Water extract, ' || p_name || ' oil, Sodium ' || lower(p_type) FROM pl UNION ALL "
+    "SELECT page_id, 'json-ld', 'json-ld', ingredients FROM ld WHERE ingredients <> ''",
+    lines=f"SELECT raw_text AS list_id, i - 1 AS position, a[i] AS raw_name FROM (SELECT raw_text, a, unnest(generate_series(1, len(a))) AS i FROM (SELECT raw_text, {D.split_list('raw_text')} AS a FROM (SELECT DISTINCT raw_text FROM cand)))",
+    **Q.resolution(), cnt=Q.counters("res"), ver=Q.verified(LIST_MIN),
+    chk="SELECT c.*, b.brand, " + _SITE + " AS website, coalesce(v.ingredient_count, 0) AS ingredient_count, coalesce(v.verified, false) AS verified, v.* EXCLUDE (list_id, ingredient_count, verified) FROM cand c JOIN base b USING (page_id) LEFT JOIN ver v ON v.list_id = c.raw_text",
+    rnk=f"SELECT *, {Q.verification_confidence('method', 'website', 'brand')} AS confidence, row_number() OVER (PARTITION BY page_id ORDER BY {PQ._PTS} DESC, method, label, raw_text) AS place FROM chk",
+    ext="SELECT page_id, bool_or(verified) AS ok, coalesce(min(CASE WHEN verified THEN place END), count(*)) AS tries, arg_min(method, place) FILTER (WHERE verified) AS method, "
+    "arg_min(confidence, place) FILTER (WHERE verified) AS confidence, arg_min(ingredient_count, place) FILTER (WHERE verified) AS n FROM rnk GROUP BY 1",
+    **_cascade(0), **_cascade(1),
+)
 
 
-@query(
-    "j6_learning_loop",
-    ctes(
-        "SELECT submission_id AS page_id, fingerprint, CASE status WHEN 'ALREADY_VERIFIED' THEN 'knowledge-base' WHEN 'VERIFIED_AND_STORED' THEN 'extraction' ELSE 'none' END AS source, CAST(CASE WHEN status = 'ALREADY_VERIFIED' THEN 0 ELSE 1 END AS INT) AS attempts, status IN ('ALREADY_VERIFIED', 'VERIFIED_AND_STORED') AS verified FROM outc",
-        **{**SUBM, "subm": "SELECT " + ", ".join(f"{v} AS {k}" for k, v in _PSUB.items()) + " FROM pages JOIN part ON p_partkey = page_id", "kb": "SELECT p_name AS fingerprint FROM part WHERE p_partkey < 0"},
-    ),
-)
+@query("j6_learning_loop", ctes("SELECT * FROM oc0 UNION ALL SELECT * FROM oc1", **_LEARN))
 def j6_learning_loop(spark, sf):
-    pages = B.product_pages(spark, sf).select(*[F.expr(v).alias(k) for k, v in _PSUB.items()])
-    kb = B.table(spark, sf, "part").where("p_partkey < 0").select(F.col("p_name").alias("fingerprint"))
-    return J.learning_loop(pages, kb, B.dimension(spark, sf), LIST_MIN)
+    """Two crawls of the product pages in two micro-batches over a knowledge base from before."""
+    base = J.work_dir(spark, "learning")
+    first, second = (_crawls(spark, sf, b) for b in (0, 1))
+    first.write.parquet(f"{base}/pages")
+    seed = {}
+    for name, df in (_learned_before(spark, sf) | {"dimension": B.dimension(spark, sf)}).items():
+        df.write.parquet(f"{base}/before/{name}")
+        seed[name] = spark.read.parquet(f"{base}/before/{name}")
+    source = file_stream(spark, f"{base}/pages", first.schema, files_per_trigger=1 << 30)
+    run = lambda: LE.learning_stream(source.drop("page_id"), _described, _extracted, seed["dimension"], seed, f"{base}/kb", LIST_MIN)
+    run()
+    second.write.mode("append").parquet(f"{base}/pages")
+    run()
+    return KB.committed(spark, f"{base}/kb", "outcome").select(*LE.OUTCOME)
