@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from inciflow.llm.common import HEAVY_SHARE, attach, stored
 
 #: The contract's rules (fixed values): verdict, host, path.
-RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Odd multipliers below 2^31; each sets one bit of one of the block's eight words.
 SALTS = [0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31]
 #: Bits for each key, and the most blocks of 32 bytes: 16 MB. With more keys more false ones pass, which the join removes.
