@@ -59,8 +59,8 @@ def j1_submissions(spark, sf):
 
 
 def _stream(spark, sf, name):
-    schema = B.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a stream, whether it is one file or a folder of part files: a path with a pattern may be either."""
+    return spark.readStream.schema(B.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query(
