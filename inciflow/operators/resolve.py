@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..sources.tables import kept
 from . import verify as V
 from .ranking import first_per_key
 
@@ -117,11 +118,11 @@ def name_dictionary(tokens: DataFrame, dim: DataFrame, fuzzy: bool = True) -> Da
 def resolve_names(tokens: DataFrame, dim: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Token rows with normalized_input, canonical_name, ingredient_id, match_type and token facts.
 
-    The dictionary has one row per name, so no row multiplies.  Whether it is
-    broadcast is left to its measured size; beyond that a hot name is split by
-    the skew join.
+    The dictionary has one row per name, so no row multiplies.  It is stored, so
+    that no branch of a query builds it again.  Whether it is broadcast is left
+    to its measured size; beyond that a hot name is split by the skew join.
     """
-    return tokens.join(name_dictionary(tokens, dim, fuzzy), "raw_name")
+    return tokens.join(kept(name_dictionary(tokens, dim, fuzzy), "names"), "raw_name")
 
 
 def fuzzy_resolve(misses: DataFrame, dim: DataFrame) -> DataFrame:

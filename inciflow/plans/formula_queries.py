@@ -11,6 +11,7 @@ from ..operators import resolve as R
 from ..operators import score as S
 from ..operators import verify as V
 from ..sources import bindings as B
+from ..sources.tables import kept
 from . import duck as D
 from . import sql_resolve as Q
 from .registry import ctes, query
@@ -331,7 +332,8 @@ def f9_suitability_score(spark, sf):
     ),
 )
 def f11_top_messages(spark, sf):
-    s = scored_lines(spark, sf)
+    # both sides read the lines that are scored once
+    s = kept(scored_lines(spark, sf).select(*S.PAIR, "position", "positive", "positive_reasons", "negative", "negative_reasons"), "scored")
     up = S.top_messages(s, "positive_reasons", "positive").withColumn("side", F.lit("positive"))
     return up.unionByName(S.top_messages(s, "negative_reasons", "negative").withColumn("side", F.lit("negative")))
 
@@ -380,12 +382,15 @@ def analyze(
     """One row per distinct request: gate, scores, verdict, confidence, strengths and weaknesses.
 
     Requests for lists without lines are answered too (not verified). Lists are typed in by hand, so brand and site are both `Manual Input`.
-    Verification counters and score sums come out of the same aggregate. With `full`, requests are those of
+    Lines are scored once and stored; verification counters and score sums come out of the same aggregate. With `full`, requests are those of
     `catalogue_requests`: their origin decides the confidence, and product, confidence notes, pros and cons come along.
     """
     origin = ["product_id", "product_name", "method", "website", "brand"] if full else []
     resolved = R.resolve_names(lines, dim, fuzzy)
     scored = S.scored_rows(resolved.withColumn("display_name", F.col("canonical_name")), requests, dim, profiles)
+    told = ["positive", "positive_reasons", "negative", "negative_reasons", "safety_reasons"] if full else []
+    facts = ["v_key", "v_plausible", "v_percent", "v_sentence", "v_marketing", "v_support", "match_type"]
+    scored = kept(scored.select(*S.PAIR, "position", "display_name", "ingredient_id", "penalty", "net", *facts, *told), "scored")
     sums = scored.groupBy(*S.PAIR).agg(*V.counter_aggregates(), *S.score_aggregates())
     nothing = {n: F.coalesce(F.col(n), F.lit(0).cast(t)) for n, t in sums.dtypes if n not in S.PAIR}
     asked = requests.select(*S.PAIR, *origin).distinct().join(sums, S.PAIR, "left").withColumns(nothing)
@@ -482,7 +487,7 @@ _LONG_REQUESTS = "SELECT DISTINCT list_id % (SELECT count(*) FROM customer) AS p
 
 @query("f15_analyze_long", ctes(ANALYZE_SQL, **dict(ANALYZE, lines=B.LONG_LINES_SQL, ver=Q.verified(K.MIN_LIST_SIZE), allreq=_LONG_REQUESTS)))
 def f15_analyze_long(spark, sf):
-    lines = B.long_formula_lines(spark, sf)
+    lines = kept(B.long_formula_lines(spark, sf), "lines")
     customers = F.broadcast(B.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n")))  # one row
     asked = lines.select("list_id").distinct().join(customers).select((F.col("list_id") % F.col("n")).alias("profile_id"), "list_id")
     return analyze(lines, asked, B.dimension(spark, sf), B.profiles(spark, sf))
@@ -536,8 +541,8 @@ _FC, _FN = Q.analysis_confidence("method", "site", "site")
 )
 def f15_full_analysis(spark, sf):
     """The whole answer, from the catalogue where the product is known, else from the list typed in."""
-    asked = catalogue_requests(asked_by_name(spark, sf), catalogue(spark, sf))
-    return analyze(B.long_formula_lines(spark, sf), asked, B.dimension(spark, sf), B.profiles(spark, sf), full=True)
+    asked = kept(catalogue_requests(asked_by_name(spark, sf), catalogue(spark, sf)), "asked")
+    return analyze(kept(B.long_formula_lines(spark, sf), "lines"), asked, B.dimension(spark, sf), B.profiles(spark, sf), full=True)
 
 
 @query(
