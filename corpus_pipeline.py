@@ -27,7 +27,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a similarity of 0.8 or more."""
+    """One document of each group of near duplicates by SimHash, to which pairs with a Jaccard similarity of 0.8 or more are added."""
     return near_copies.keep_one(docs)
 
 

@@ -1,4 +1,7 @@
-"""Groups of documents by the Jaccard similarity of their word shingles, verified on the whole shingle sets.
+"""Groups of documents by SimHash, and by the Jaccard similarity of their word shingles, verified on the whole sets.
+
+SimHash links texts whose fingerprints are close (`simhash.near_duplicates`); pairs of high similarity that differ in
+more bits are found by bands and added.
 
 Texts meet in buckets by bands of minimum hashes; every text of a bucket brings its whole set of shingles there, so a
 link is an exact similarity. Two texts at the least similarity miss each other with a chance of (1 - s^ROWS)^BANDS, 4
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inciflow.llm.common import HEAVY_SHARE, attach, packed, small_batches, stored, unpacked
-from inciflow.llm.simhash import components
+from inciflow.llm.simhash import components, near_duplicates
 
 #: Bands of minimum hashes, and minimum hashes of a band.
 BANDS, ROWS = 28, 4
@@ -136,6 +139,8 @@ def links(texts: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, component_id: one row per row of `docs`; the component is the smallest doc_id reachable by similar pairs.
 
+    Pairs are similar by SimHash, as `near_duplicates` links them, or by a Jaccard similarity of `least` or more.
+
     Texts without words (null, empty, white space) are equal; texts shorter than a shingle are one shingle. Null
     doc_ids never name a component unless it has no other. An empty table gives no rows; other columns are ignored.
     """
@@ -144,7 +149,9 @@ def groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4, 5)) -
     # copies of a text are one text
     counted = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_doc")), "copies-texts")
     one = rows.dropDuplicates(["key"]).select("key", "t")
-    labels = components(links(one, shingle, least))
+    hashed = near_duplicates(one.select(F.col("key").alias("doc_id"), F.col("t").cast("string").alias("text")))
+    close = hashed.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    labels = components(close.unionByName(links(one, shingle, least)))
     named = counted.join(labels, counted["key"] == labels["node"], "left").select("key", "n", "least_doc", F.coalesce("label", "key").alias("label"))
     named = stored(named, "copies-named")
     smallest = named.groupBy("label").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("members"))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from inciflow.llm import near_copies
+from inciflow.llm import near_copies, simhash
 from tests.conftest import SF
 from tests.llm.fixtures import nasty
 
@@ -70,3 +70,14 @@ def test_odd_rows(spark):
     assert len(rows) == nasty(spark).count() and near_copies.groups(nasty(spark).limit(0)).count() == 0
     found = {r["doc_id"]: r["component_id"] for r in rows}
     assert found[0] == found[1] == found[2] == found[23] == 0 and found[20] == found[21] == found[24] == 20 and found[4] == 3
+
+
+def test_stage_takes_the_links_of_simhash(spark):
+    """Two texts at a similarity of 0.7 whose fingerprints differ by at most 3 bits: SimHash links them, the bands don't."""
+    docs, rows = edited(spark)
+    two = [r for r in rows if r[0] in (5005, 5012)]
+    assert brute_kept(two) == [5005, 5012]
+    fps = [simhash.fingerprint(t.encode(), 3) % 2**64 for _, t in two]
+    assert (fps[0] ^ fps[1]).bit_count() <= 3
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs.filter("doc_id IN (5005, 5012)"), SF)
+    assert [r["doc_id"] for r in kept.collect()] == [5005]
