@@ -249,26 +249,29 @@ def kb_lookup(requests: DataFrame, products: DataFrame, formulas: DataFrame, ali
     requests: request_id, fingerprint, brand, canonical_name, keys array<string>;
     products: fingerprint, brand, canonical_name, updated_at; formulas:
     fingerprint, ...; aliases: alias_key, fingerprint.
+
+    All sides grow with the products, and sizes guessed from files are far below those in memory: joins sort and
+    merge, so that no table goes through the driver.
     """
     formula = best_formula(formulas, "fingerprint").select("fingerprint", "formula_id", "confidence")
     by_print = products.select("fingerprint", F.lit(True).alias("_stored"))
     named = products.where("brand <> '' AND canonical_name <> ''").select("brand", "canonical_name", "updated_at", F.col("fingerprint").alias("_named"))
     by_name = latest_product(named).select("brand", "canonical_name", "_named")
-    found = requests.join(by_print, "fingerprint", "left").join(by_name, ["brand", "canonical_name"], "left")
+    found = requests.join(by_print.hint("merge"), "fingerprint", "left").join(by_name.hint("merge"), ["brand", "canonical_name"], "left")
     pick = F.when(F.col("_stored"), F.col("fingerprint")).otherwise(F.col("_named"))
     found = found.select("request_id", F.coalesce("_stored", F.lit(False)).alias("_stored"), pick.alias("_fp"), "keys")
-    direct = found.join(formula.withColumnRenamed("fingerprint", "_fp"), "_fp", "left")
+    direct = found.join(formula.withColumnRenamed("fingerprint", "_fp").hint("merge"), "_fp", "left")
     hit = direct.where("formula_id IS NOT NULL").select(
         "request_id", F.when(F.col("_stored"), "database").otherwise("database-alias").alias("source"), F.col("_fp").alias("fingerprint"), "formula_id", "confidence"
     )
     missed = direct.where("formula_id IS NULL").select("request_id", F.posexplode("keys").alias("pos", "alias_key"))
-    claimed = missed.join(aliases.select("alias_key", "fingerprint"), "alias_key").groupBy("request_id").agg(
+    claimed = missed.join(aliases.select("alias_key", "fingerprint").hint("merge"), "alias_key").groupBy("request_id").agg(
         F.min(F.struct("pos", "fingerprint")).alias("m")
     )
     learned = (
         claimed.select("request_id", F.col("m.fingerprint").alias("fingerprint"))
-        .join(products.select("fingerprint"), "fingerprint", "left_semi")
-        .join(formula, "fingerprint")
+        .join(products.select("fingerprint").hint("merge"), "fingerprint", "left_semi")
+        .join(formula.hint("merge"), "fingerprint")
         .select("request_id", F.lit("memory-alias").alias("source"), "fingerprint", "formula_id", "confidence")
     )
     return hit.unionByName(learned)

@@ -276,16 +276,16 @@ def kb_tables(spark, sf):
     fp = ST.fingerprint(base).select("p_partkey", "brand", "canonical_name", "fingerprint")
     shown = F.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("x"), "fingerprint")).otherwise(F.col("fingerprint"))
     asked = keys.groupBy("p_partkey").agg(F.sort_array(F.collect_list(F.struct("ord", "alias_key"))).alias("k"))
-    reqs = fp.join(asked, "p_partkey").select(
+    reqs = fp.join(asked.hint("merge"), "p_partkey").select(
         F.col("p_partkey").alias("request_id"), shown.alias("fingerprint"), F.when(F.col("p_partkey") % 8 == 1, "").otherwise(F.col("brand")).alias("brand"), "canonical_name",
         F.transform("k", lambda x: F.when(F.col("p_partkey") % 16 == 1, F.concat(F.lit("no "), x["alias_key"])).otherwise(x["alias_key"])).alias("keys"),
     )
     stored = fp.groupBy("fingerprint").agg(F.min_by("brand", "p_partkey").alias("brand"), F.min_by("canonical_name", "p_partkey").alias("canonical_name"), F.max("p_partkey").alias("updated_at"))
     li = B.table(spark, sf, "lineitem")
-    forms = li.join(fp.select(F.col("p_partkey").alias("l_partkey"), "fingerprint"), "l_partkey").select(
+    forms = li.join(fp.select(F.col("p_partkey").alias("l_partkey"), "fingerprint").hint("merge"), "l_partkey").select(
         "fingerprint", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("formula_id"), F.col("l_discount").alias("confidence"), day("l_shipdate").alias("verified_at")
     )
-    claims = keys.join(fp.select("p_partkey", "fingerprint"), "p_partkey").select("alias_key", "fingerprint", F.col("p_partkey").alias("registered_at"))
+    claims = keys.join(fp.select("p_partkey", "fingerprint").hint("merge"), "p_partkey").select("alias_key", "fingerprint", F.col("p_partkey").alias("registered_at"))
     return reqs, stored, forms, claims
 
 
@@ -331,7 +331,7 @@ def g3_register_aliases(spark, sf):
 )
 def g8_kb_result(spark, sf):
     _, stored, _, _ = kb_tables(spark, sf)
-    rows = kb_hits(spark, sf).join(stored, "fingerprint").withColumns(
+    rows = kb_hits(spark, sf).join(stored.hint("merge"), "fingerprint").withColumns(
         {
             "input_url": F.concat(F.lit("https://in/"), "request_id"), "source_url": F.lit(""), "website": F.lit(""), "method": F.lit(""), "ingredient_source": F.lit(""),
             "ingredient_count": F.col("formula_id") % 30, "matched_count": F.lit(None).cast("bigint"), "unknown_count": F.lit(None).cast("bigint"), "match_rate": F.lit(None).cast("double"),
