@@ -85,9 +85,10 @@ def name_dictionary(tokens: DataFrame, dim: DataFrame, fuzzy: bool = True) -> Da
     """Each different raw name once: what it resolves to and how it looks as a token.
 
     Names repeat across lists, so keys, patterns and lookups are evaluated per
-    name and joined back, not per line.
+    name and joined back, not per line. The names are stored before, as conditions
+    on their keys would else be moved down to the lines.
     """
-    asked = expand_synonyms(tokens.select("raw_name").distinct())
+    asked = expand_synonyms(kept(tokens.select("raw_name").distinct(), "raw-names"))
     support = dim.select("ingredient_id", V.support_signal().alias("v_support"))
     found = asked.join(lookup_table(dim).withColumnRenamed("name", "canonical"), ["key", "via"], "left")
     if fuzzy:
