@@ -315,7 +315,9 @@ def f7_safety_score(spark, sf):
 
 @query("f8_safety_notes", ctes(Q.top_messages("safety_reasons", "penalty"), **SCORED))
 def f8_safety_notes(spark, sf):
-    return S.top_messages(scored_lines(spark, sf), "safety_reasons", "penalty")
+    # stored, so that no task holds the sorted lines and profiles of the join beside the messages
+    s = kept(scored_lines(spark, sf).select(*S.PAIR, "position", "penalty", "safety_reasons"), "scored")
+    return S.top_messages(s, "safety_reasons", "penalty")
 
 
 @query("f9_suitability_score", ctes("SELECT profile_id, list_id, suitability_score FROM ps", **SCORED, ps=Q.PAIR_SCORES))
@@ -499,16 +501,16 @@ _PRODUCT = "s_name || ' ' || CAST(list_id % 10000 AS STRING)"
 _ASKED = "CASE list_id % 4 WHEN 0 THEN upper(name) WHEN 1 THEN ' ' || name || ' ' WHEN 2 THEN name || ' refill' END"
 
 
-def catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    lists = B.long_formula_lines(spark, sf).select("list_id").distinct()
-    sold = lists.join(B.table(spark, sf, "supplier"), F.floor(F.col("list_id") / 10000) == F.col("s_suppkey"))
+def catalogue(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
+    """A product for each list of `lines`."""
+    sold = lines.select("list_id").distinct().join(B.table(spark, sf, "supplier"), F.floor(F.col("list_id") / 10000) == F.col("s_suppkey"))
     return sold.select(F.col("list_id").alias("product_id"), F.expr(_PRODUCT).alias("name"), F.col("s_name").alias("brand"), F.col("list_id").alias("product_list"))
 
 
-def asked_by_name(spark: SparkSession, sf: str) -> DataFrame:
+def asked_by_name(spark: SparkSession, sf: str, products: DataFrame) -> DataFrame:
     """The customer next to a list's number asks; one who names a product pastes a list of no lines beside it."""
     customers = F.broadcast(B.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n")))  # one row
-    lists = catalogue(spark, sf).withColumnRenamed("product_list", "list_id").join(customers)
+    lists = products.withColumnRenamed("product_list", "list_id").join(customers)
     pasted = F.when(F.col("list_id") % 4 < 2, -F.col("list_id")).otherwise(F.col("list_id"))
     return lists.select((F.col("list_id") % F.col("n")).alias("profile_id"), pasted.alias("list_id"), F.expr(_ASKED).alias("product_name"))
 
@@ -541,8 +543,10 @@ _FC, _FN = Q.analysis_confidence("method", "site", "site")
 )
 def f15_full_analysis(spark, sf):
     """The whole answer, from the catalogue where the product is known, else from the list typed in."""
-    asked = kept(catalogue_requests(asked_by_name(spark, sf), catalogue(spark, sf)), "asked")
-    return analyze(kept(B.long_formula_lines(spark, sf), "lines"), asked, B.dimension(spark, sf), B.profiles(spark, sf), full=True)
+    lines = kept(B.long_formula_lines(spark, sf), "lines")
+    products = kept(catalogue(spark, sf, lines), "products")
+    asked = kept(catalogue_requests(asked_by_name(spark, sf, products), products), "asked")
+    return analyze(lines, asked, B.dimension(spark, sf), B.profiles(spark, sf), full=True)
 
 
 @query(
