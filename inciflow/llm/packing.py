@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 END_ID = 2
 #: Words, and pieces of words, whose ids a worker remembers at most; then it starts anew.
-CACHE_WORDS, CACHE_PIECES = 400_000, 800_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 300_000
 SPECIAL = b"<|"
 #: Words of printable Latin-1, on which lower case and Unicode classes are the same everywhere.
 PLAIN = regex.compile(r"[!-~\u00a1-\u00ff]+")

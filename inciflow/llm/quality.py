@@ -29,7 +29,7 @@ SAMPLE = 20_000
 #: Features that a model uses at most: those that tell the grades apart most surely.
 FEATURES = 4096
 #: Words whose features a task remembers at most; then it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def _index(name: bytes) -> int:
