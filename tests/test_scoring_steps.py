@@ -60,3 +60,10 @@ def test_catalogue_reads_stored_lines(spark):
     """The whole answer derived the lists from the line items three times."""
     lines = spark.createDataFrame([(11992,), (11992,)], "list_id long")
     assert "lineitem" not in plan(Q.catalogue(spark, SF, lines))
+
+
+def test_profiles_are_not_broadcast(spark):
+    """Sizes guessed from the files of profiles sent 544 MB through the driver."""
+    asked = spark.createDataFrame([(1, 1), (1, 2), (-5, 3)], "profile_id long, list_id long")
+    met = S.asked_contexts(asked, B.profiles(spark, SF))
+    assert "Broadcast" not in plan(met) and {(r["profile_id"], r["list_id"]) for r in met.collect()} == {(1, 1), (1, 2), (-5, 3)}
