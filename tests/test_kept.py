@@ -1,7 +1,9 @@
 """What several branches of a query read is computed once, so that plans stay short."""
 
+import time
+
 import __spark_entry__ as entry
-from inciflow.sources.tables import kept
+from inciflow.sources.tables import CLEANUP, kept
 from tests.conftest import SF
 
 
@@ -23,3 +25,14 @@ def test_plans_of_scores_are_short(spark):
 def test_messages_read_lines_scored_once(spark):
     text = entry.queries()["f11_top_messages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in text and "levenshtein" not in text
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    """They stayed until the driver collected its garbage, so a job's disk held those of all its steps."""
+    files = lambda: sum("shuffle" in f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before, settings = files(), spark.conf.get(CLEANUP)
+    kept(spark.range(1000).repartition(3, "id"), "test")
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(CLEANUP) == settings

@@ -67,3 +67,42 @@ def test_profiles_are_not_broadcast(spark):
     asked = spark.createDataFrame([(1, 1), (1, 2), (-5, 3)], "profile_id long, list_id long")
     met = S.asked_contexts(asked, B.profiles(spark, SF))
     assert "Broadcast" not in plan(met) and {(r["profile_id"], r["list_id"]) for r in met.collect()} == {(1, 1), (1, 2), (-5, 3)}
+
+
+def test_lists_are_dealt_packed(spark, monkeypatch):
+    """One row for each line of each way of looking at a list was stored, and dealt twice."""
+    rows, stored = {}, S.kept
+
+    def noted(df, name, *settings):
+        rows[name] = stored(df, name, *settings)
+        return rows[name]
+
+    monkeypatch.setattr(S, "kept", noted)
+    for k, v in (("PACK", 4), ("PART", 3), ("TASK", 5)):
+        monkeypatch.setattr(S, k, v)
+    dim, profiles = B.dimension(spark, SF), B.profiles(spark, SF).where("profile_id < 40")
+    twins = profiles.unionByName(profiles.selectExpr("profile_id + 1000 AS profile_id", "* EXCEPT (profile_id)"))
+    known = [r["ingredient_id"] for r in dim.select("ingredient_id").orderBy("ingredient_id").limit(5).collect()]
+    lines = [(i, p, "x", [*known, None][(i * p + p) % 6]) for i in range(12) for p in range(11)] + [(None, 0, "x", known[0])]
+    lines = spark.createDataFrame(lines, "list_id long, position int, display_name string, ingredient_id long")
+    asked = [(p + t, i) for p in (1, 2, 3) for t in (0, 1000) for i in range(13)] + [(1, 0), (None, 1), (7777, 1), (2, None)]
+    asked = spark.createDataFrame(asked, "profile_id long, list_id long")
+    want = S.pair_scores(S.scored_rows(lines, asked, dim, twins)).where("profile_id <> 7777")
+    got = S.score_all(lines, asked, dim, twins)
+    columns = ["profile_id", "list_id", "line_count", "unknown_count", "safety_score", "suitability_score"]
+    found = sorted(tuple(r) for r in got.select(*columns).collect())
+    assert found == sorted(tuple(r) for r in want.select(*columns).collect()) and len(found) == 6 * 12
+    # 26 requests of a signature, at most 3 to a part
+    assert rows["asked-lists"].count() == 3 * 12 * 3 and 1 < len({r["part"] for r in rows["asked-lists"].collect()}) <= 9
+    assert rows["asked"].select("signature").distinct().count() == 3 and "asked-lines" not in rows
+
+
+def test_unpacked_lines_are_not_dealt(spark):
+    lines = spark.createDataFrame([(1, 0, "x", None)], "list_id long, position int, display_name string, ingredient_id long")
+    rows, _ = S.contributions(lines, spark.createDataFrame([(1, 1)], "profile_id long, list_id long"), B.dimension(spark, SF), B.profiles(spark, SF))
+    [spark.conf.set(k, v) for k, v in S.DEALT.items()]
+    try:
+        text = plan(S.signature_scores(rows))
+    finally:
+        [spark.conf.unset(k) for k in S.DEALT]
+    assert text.count("Exchange hashpartitioning") == 2 == text.count("REPARTITION_BY_NUM")
