@@ -3,6 +3,8 @@
 import time
 
 import __spark_entry__ as entry
+from check import compare
+from inciflow.operators import score as S
 from inciflow.sources.tables import CLEANUP, kept
 from tests.conftest import SF
 
@@ -36,3 +38,11 @@ def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
     while files() > before and time.time() < until:
         time.sleep(0.1)
     assert files() <= before and spark.conf.get(CLEANUP) == settings
+
+
+def test_recommendations_of_busy_signatures(spark, con, monkeypatch):
+    """Parts of a signature, packs of a list and tasks of a few lines give the same recommendations."""
+    for k, v in (("PACK", 2), ("PART", 7), ("TASK", 900)):
+        monkeypatch.setattr(S, k, v)
+    ok, said = compare(spark, con, SF, "f18_recommend")
+    assert ok, said
