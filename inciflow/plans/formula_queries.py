@@ -417,7 +417,7 @@ def analyze(
     met = rows.join(tops, S.PAIR, "left")
     notes = []
     if full:
-        met = met.join(S.pros_and_cons(scored), S.PAIR, "left")
+        met = met.join(S.pros_and_cons(scored).hint("merge"), S.PAIR, "left")
         said = [F.when(ok, T.text(F.col(c))).otherwise("").alias(c) for c in ("pros", "cons")]
         notes = ["product_id", F.coalesce("product_name", F.lit("Custom Ingredient List")).alias("product_name"), "confidence_details", *said]
     return met.select(

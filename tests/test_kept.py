@@ -2,9 +2,13 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from check import compare
 from inciflow.operators import score as S
+from inciflow.operators.ranking import rank_in_group
+from inciflow.sources import bindings as B
 from inciflow.sources.tables import CLEANUP, kept
 from tests.conftest import SF
 
@@ -46,3 +50,12 @@ def test_recommendations_of_busy_signatures(spark, con, monkeypatch):
         monkeypatch.setattr(S, k, v)
     ok, said = compare(spark, con, SF, "f18_recommend")
     assert ok, said
+
+
+def test_long_lists_read_stored_offsets(spark):
+    """What lies ahead of a cell was shuffled beside the rows that it ranks."""
+    text = B.long_formula_lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("lineitem.parquet") == 1
+    df = spark.createDataFrame([(g, a, i) for i, (g, a) in enumerate([(1, 2), (1, None), (None, 1), (1, 2), (None, None), (None, 1), (2, 7)])], "g int, a int, id int")
+    ranked = [rank_in_group(df, ["g"], ["a"], [F.col("id")], "r", store=s).select("g", "a", "id", "r") for s in (True, False)]
+    assert sorted(map(str, ranked[0].collect())) == sorted(map(str, ranked[1].collect())) and ranked[0].where("r = 2 AND g = 1 AND id = 3").count() == 1

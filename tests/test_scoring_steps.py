@@ -106,3 +106,16 @@ def test_unpacked_lines_are_not_dealt(spark):
     finally:
         [spark.conf.unset(k) for k in S.DEALT]
     assert text.count("Exchange hashpartitioning") == 2 == text.count("REPARTITION_BY_NUM")
+
+
+def test_kinds_of_messages_are_shuffled_apart(spark):
+    """All messages of all kinds lay on disk at once, each dealt twice; the packed answers read the few that were stored."""
+    rows = [
+        (7, 1, 0, 5, ["a", "b"], 9, ["s1", "s2"], 3, ["n1"]), (7, 1, 1, 8, ["c", "a"], 9, ["s3", "s1"], 4, ["n2", "n3"]),
+        (7, 1, 2, 1, ["d", "e", "f"], 0, [], 9, ["n4"]), (7, 2, 0, 0, [], 0, [], 0, []), (8, 1, 4, 2, ["a"], 0, None, 1, ["n1"]),
+    ]
+    types = "profile_id long, list_id long, position int, positive long, positive_reasons array<string>, penalty long, safety_reasons array<string>, negative long, negative_reasons array<string>"
+    packed = S.pros_and_cons(spark.createDataFrame(rows, types))
+    assert plan(packed).count("Exchange hashpartitioning") == 1
+    got = {(r["profile_id"], r["list_id"]): (r["pros"], r["cons"]) for r in packed.collect()}
+    assert got == {(7, 1): ("c | a | b | d | e", "s1 | s2 | s3 | n4 | n2"), (8, 1): ("a", "n1")}
